@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import copies, docpairs, leaks
+from marginalia.llm import copies, credentials, docpairs, leaks
 from marginalia.sources.tables import table
 
 COMPARED_KINDS = ("line", "block", "docstring")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments that hold a credential."""
+    return credentials.found_ids(table(spark, folder, "comments", "id", "raw_text"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Functions whose documentation is a comment of the same file and says something."""
     return docpairs.documented(
@@ -34,6 +39,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p7_found": p7_found,
