@@ -85,6 +85,16 @@ _PLACEHOLDER = re.compile(
 )
 #: Rules whose form alone tells: only the entropy is asked.
 _BY_FORM = {"issued-token", "access-key-id"}
+#: Rules that hold even next to a digest or inside a block.
+_ANYWHERE = {"private-key", "wrapped-key", "url-userinfo", "command-user", "issued-token"}
+#: Texts without any of these, in lower case, can't match the rule; the rest is announced by a name.
+_ANNOUNCED = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "clave", "contrase", "kennwort", "login", "clé", "zugang", "schlüssel", "account", "unlock", "phrase")
+_HINTS = {
+    "issued-token": ("gh", "glpat-", "npm_", "pypi-", "xox", "sk_", "sk-", "rk_live", "pk_priv", "hf_", "dop_v1", "sg.", "aiza", "ya29.", "shpat_", "lin_api", "dckr_pat"),
+    "access-key-id": ("akia", "asia"), "signed-token": ("eyj",), "url-userinfo": ("://",), "url-parameter": ("?", "&", ";"),
+    "url-webhook": ("://hook", "://webhook"), "command-user": (" -u", "--user"), "header": ("basic", "bearer"),
+    "high-entropy": tuple("0123456789"),
+}
 _TRAIL = ".,;:!?)]}'\"`"
 
 
@@ -132,30 +142,37 @@ def credentials(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the credentials in a text, in order and without overlap."""
     if not text:
         return []
+    low = text.lower()
     found: list[tuple[int, int, str]] = []
     closed: list[tuple[int, int]] = []
-    if "-----BEGIN" in text:
+    if "-----begin" in low:
         for m in _ARMOUR.finditer(text):
             closed.append(m.span())
             if "PRIVATE" in m["what"]:
                 found.append((*m.span("v"), "private-key"))
-    public = [m.span() for m in _PUBLIC.finditer(text)] + closed
-    for m in _WRAPPED.finditer(text):
-        parts = [p for p in _WRAPPED_PART.finditer(text, text.index(":", m.start()), m.end())]
-        if parts and credible("".join(p[0] for p in parts), True):
-            found += [(p.start(), p.end(), "wrapped-key") for p in parts]
+    if "wrapped" in low or "key" in low or "token" in low:
+        for m in _WRAPPED.finditer(text):
+            parts = list(_WRAPPED_PART.finditer(text, text.index(":", m.start()), m.end()))
+            if parts and credible("".join(p[0] for p in parts), True):
+                found += [(p.start(), p.end(), "wrapped-key") for p in parts]
+    announced = any(h in low for h in _ANNOUNCED)
     for name, pattern, named in RULES:
+        if not (any(h in low for h in _HINTS[name]) if name in _HINTS else announced):
+            continue
         for m in pattern.finditer(text):
             a, b = _trim(text, *m.span("v"))
-            if any(x < b and a < y for x, y in public) and name not in ("url-userinfo", "command-user", "issued-token"):
-                continue
             if credible(text[a:b], named) or name in _BY_FORM and entropy(text[a:b]) >= threshold(text[a:b], True):
                 found.append((a, b, name))
+    if not found:
+        return []
+    public = [m.span() for m in _PUBLIC.finditer(text)] + closed
     kept: list[tuple[int, int, str]] = []
-    for a, b, name in sorted(found, key=lambda x: (x[0], -x[1])):
-        if not kept or a >= kept[-1][1]:
+    for a, b, name in sorted(found, key=lambda x: (x[2] == "high-entropy", x[0], -x[1])):
+        if name not in _ANYWHERE and any(x < b and a < y for x, y in public):
+            continue
+        if all(b <= x or y <= a for x, y, _ in kept):
             kept.append((a, b, name))
-    return kept
+    return sorted(kept)
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
