@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import copies, credentials, docpairs, leaks
+from marginalia.llm import copies, credentials, docpairs, leaks, residue
 from marginalia.sources.tables import table
 
 COMPARED_KINDS = ("line", "block", "docstring")
@@ -38,11 +38,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with template residue, filler, error-page or script notices."""
+    return residue.residue(table(spark, folder, "documents", "doc_id", "text")).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 _P4 = r"""
