@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import copies, credentials, docpairs, leaks, residue
+from marginalia.llm import copies, credentials, docpairs, leaks, machine, residue
 from marginalia.sources.tables import table
 
 COMPARED_KINDS = ("line", "block", "docstring")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that a tool wrote, a machine bundled, a third party wrote, or that are data."""
+    return machine.machine_paths(
+        table(spark, folder, "walked_files", "path", "text"), table(spark, folder, "upstream_files", "text")
+    )
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Comments that hold a credential."""
     return credentials.found_ids(table(spark, folder, "comments", "id", "raw_text"))
@@ -44,6 +51,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
