@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import copies, credentials, docpairs, leaks, machine, residue
+from marginalia.llm import copies, credentials, docpairs, leaks, machine, neighbours, residue
 from marginalia.sources.tables import table
 
 COMPARED_KINDS = ("line", "block", "docstring")
@@ -38,6 +38,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copies(comments.where(comments.kind.isin(*COMPARED_KINDS)))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of comments whose vectors are among the most similar of each other."""
+    return neighbours.similar_pairs(table(spark, folder, "comment_vectors", "content_hash", "model_version", "vector"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of a benchmark item."""
     return leaks.leaks(
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p8_found": p8_found,
 }
