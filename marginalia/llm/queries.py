@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import copies, credentials, docpairs, leaks, machine, neighbours, residue
+from marginalia.llm import copies, credentials, docpairs, leaks, machine, neighbours, packing, residue
 from marginalia.sources.tables import table
 
 COMPARED_KINDS = ("line", "block", "docstring")
@@ -43,6 +43,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, folder, "comment_vectors", "content_hash", "model_version", "vector"))
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in containers of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of a benchmark item."""
     return leaks.leaks(
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_packed": p6_packed,
     "p7_found": p7_found,
     "p8_found": p8_found,
 }
