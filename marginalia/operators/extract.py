@@ -54,7 +54,7 @@ def _bind(text: str, places: _Places, nodes: list[Node], start: int, end: int, d
         head = text.rfind("\n", 0, start) + 1
         code = text[head:start].rstrip()
         begin = head + len(code) - len(code.lstrip())
-        return around, places.span(begin, head + len(code))
+        return enclosing(nodes, begin), places.span(begin, head + len(code))
     following = re.compile(r"[ \t]*\r?\n([ \t]*)(?=[^\s])").match(text, end)
     if not following:
         return around, None

@@ -204,7 +204,8 @@ def code_tokens(text: str, language: str, without: list[tuple[int, int]] = []) -
     out, at = [], 0
     for a, b in [*gone, (len(text), len(text))]:
         if a > at:
-            out += re.findall(r"\w+|[^\w\s]|\n[ \t]*(?=\S)" if language == "python" else r"\w+|[^\w\s]", text[at:a])
+            piece = text[at:a] if at or language != "python" else "\n" + text[:a]
+            out += re.findall(r"\w+|[^\w\s]|\n[ \t]*(?=\S)" if language == "python" else r"\w+|[^\w\s]", piece)
         at = max(at, b)
     # Indentation matters in Python, but only where a line has code.
     return [t for i, t in enumerate(out) if not (t.startswith("\n") and (i + 1 == len(out) or out[i + 1].startswith("\n")))]

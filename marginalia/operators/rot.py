@@ -41,7 +41,7 @@ def with_intent(comments: DataFrame) -> DataFrame:
 
 
 def _byte(text: Column, piece: Column) -> Column:
-    return F.octet_length(F.substring_index(text, piece, 1)).cast("bigint")
+    return F.octet_length(F.call_function("substring_index", text, piece, F.lit(1))).cast("bigint")
 
 
 def references(comments: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import tokens
@@ -25,8 +25,12 @@ def keyword(texts: DataFrame, query: str, limit: int, key: str = "id", text: str
     if not words:
         return empty
     words_of = tokens(F.col(text))
+
+    def times(word: str) -> Column:
+        return F.size(F.filter(words_of, lambda x: x == word))
+
     counted = texts.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("id"), F.size(words_of).alias("length"), *[F.size(F.filter(words_of, lambda x, w=w: x == w)).alias(f"tf_{i}") for i, w in enumerate(words)]
+        F.col(key).alias("id"), F.size(words_of).alias("length"), *[times(w).alias(f"tf_{i}") for i, w in enumerate(words)]
     )
     found = counted.agg(F.count("*"), F.avg("length"), *[F.count_if(F.col(f"tf_{i}") > 0) for i in range(len(words))]).first()
     n, mean, df = found[0], found[1] or 1.0, found[2:]
