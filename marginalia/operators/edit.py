@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -27,6 +28,14 @@ def splice(data: bytes, edits: Sequence[tuple[int, int, str]]) -> bytes:
     return data
 
 
+def parses(text: str) -> bool:
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
 def code_unchanged(before: str, after: str, language: str, removed: Sequence[tuple[int, int]] = (), added: Sequence[tuple[int, int]] = ()) -> bool:
     """Whether two texts have the same code. removed, added: byte ranges of documentation strings that may differ."""
 
@@ -34,6 +43,8 @@ def code_unchanged(before: str, after: str, language: str, removed: Sequence[tup
         data = text.encode("utf-8")
         return [(len(data[:a].decode("utf-8", "ignore")), len(data[:b].decode("utf-8", "ignore"))) for a, b in ranges]
 
+    if language == "python" and parses(before) and not parses(after):
+        return False
     try:
         return code_tokens(before, language, chars(before, removed)) == code_tokens(after, language, chars(after, added))
     except RecursionError:

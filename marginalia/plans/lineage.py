@@ -14,6 +14,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: that of the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
