@@ -67,7 +67,7 @@ def fnv1a(text: Column) -> Column:
 
 def first_line(text: Column, blank: bool = True) -> Column:
     """The first line, trimmed; blank=False: the first line that isn't blank."""
-    trimmed = F.transform(lines(text), F.trim)
+    trimmed = F.transform(lines(text), lambda x: F.trim(x))
     return F.try_element_at(trimmed if blank else F.filter(trimmed, lambda x: x != ""), F.lit(1))
 
 

@@ -28,6 +28,15 @@ def splice(data: bytes, edits: Sequence[tuple[int, int, str]]) -> bytes:
     return data
 
 
+def is_string(text: str) -> bool:
+    """Whether a text is one string literal of Python."""
+    try:
+        tree = ast.parse(text.strip(), mode="eval")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return isinstance(tree.body, ast.Constant) and isinstance(tree.body.value, str)
+
+
 def parses(text: str) -> bool:
     try:
         ast.parse(text)
@@ -68,12 +77,15 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
                     rows.append((path, text, False, "outside the file", 0))
                     continue
                 new = splice(data, wanted).decode("utf-8", "replace")
-                shift, added = 0, []
+                # Documentation strings of Python are code to the lexer: an exchange of one for another is left out.
+                shift, removed, added = 0, [], []
                 for a, b, piece in sorted(wanted):
                     size = len(piece.encode("utf-8"))
-                    added.append((a + shift, a + shift + size))
+                    if language == "python" and is_string(data[a:b].decode("utf-8", "replace")) and (not piece or is_string(piece)):
+                        removed.append((a, b))
+                        added.append((a + shift, a + shift + size))
                     shift += size - (b - a)
-                same = code_unchanged(text, new, language, [(a, b) for a, b, _ in wanted], added if language == "python" else ())
+                same = code_unchanged(text, new, language, removed, added)
                 rows.append((path, new if same else text, same, None if same else "the code would change", len(wanted) if same else 0))
             yield pd.DataFrame(rows, columns=["path", "new_text", "ok", "reason", "applied"])
 

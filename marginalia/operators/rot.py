@@ -31,7 +31,9 @@ DRIFT_DAYS = 30
 LEAST_MEANING = 35
 
 _NAME = r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*"
-_TICKED = rf"(?<!`)(`+)(?!`)\s*({_NAME})\s*(\([^`]*\))?\s*(?<!`)\1"
+#: A span in back ticks ends with as many as it began with; what it holds is a name, perhaps called.
+_TICKED = r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)"
+_HELD = rf"^\s*({_NAME})\s*(\(.*\))?\s*$"
 _CALLED = rf"(?<![\w`.$])({_NAME})\(([^()`\n]*)\)"
 RULES = {"rot_ref": "reference_stale", "rot_path": "path_missing", "rot_drift": "rot_candidate", "rot_signature": "doc_drift", "rot_semantic": "rot_candidate"}
 
@@ -51,11 +53,9 @@ def references(comments: DataFrame) -> DataFrame:
     arguments or a dotted name. Names in back ticks are taken without their call.
     """
     text = F.col("raw_text")
+    held = F.filter(F.regexp_extract_all(text, F.lit(_TICKED), F.lit(2)), lambda m: m.rlike(_HELD))
     ticked = F.transform(
-        F.regexp_extract_all(text, F.lit(_TICKED), F.lit(0)),
-        lambda m: F.struct(
-            F.regexp_extract(m, rf"`+\s*({_NAME})", 1).alias("name"), F.lit(True).alias("ticked"), m.contains("(").alias("called")
-        ),
+        held, lambda m: F.struct(F.regexp_extract(m, _HELD, 1).alias("name"), F.lit(True).alias("ticked"), m.contains("(").alias("called"))
     )
     called = F.transform(
         F.regexp_extract_all(text, F.lit(_CALLED), F.lit(0)),

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import tokens
 from marginalia.operators.rank import fuse
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -17,20 +16,21 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 def keyword(texts: DataFrame, query: str, limit: int, key: str = "id", text: str = "raw_text") -> DataFrame:
     """id, score, rank: BM25 over all texts, for a text that holds any word of the query.
 
-    One pass counts the query's words in each text as an array; corpus statistics are a one-row aggregate. No token is
-    exploded, so nothing but the matching rows and the top `limit` is shuffled.
+    Words are counted in place: no token is exploded, corpus statistics are a one-row aggregate, and nothing but the
+    top `limit` rows is shuffled.
     """
     words = list(dict.fromkeys(w.lower() for w in re.findall(r"[^\W_]+", query)))
     empty = texts.select(F.col(key).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
     if not words:
         return empty
-    words_of = tokens(F.col(text))
+    low = F.lower(F.col(text))
 
     def times(word: str) -> Column:
-        return F.size(F.filter(words_of, lambda x: x == word))
+        whole = F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(word)}(?![\p{{L}}\p{{N}}])"))
+        return F.when(low.contains(word), whole).otherwise(0)
 
     counted = texts.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("id"), F.size(words_of).alias("length"), *[times(w).alias(f"tf_{i}") for i, w in enumerate(words)]
+        F.col(key).alias("id"), F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+")).alias("length"), *[times(w).alias(f"tf_{i}") for i, w in enumerate(words)]
     )
     found = counted.agg(F.count("*"), F.avg("length"), *[F.count_if(F.col(f"tf_{i}") > 0) for i in range(len(words))]).first()
     n, mean, df = found[0], found[1] or 1.0, found[2:]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +80,29 @@ def hidden(path: Column) -> Column:
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, text of every file below a folder; text is null where the bytes are no UTF-8."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return raw.select(relative(F.col("path"), root).alias("path"), text.alias("text"))
+    """path, text of every file below a folder that all executors see; text is null where the bytes are no UTF-8.
+
+    The folder's entries are dealt out, and each task walks and reads below its own. (The built-in file reader passes
+    over names that begin with a dot or an underscore, `__init__.py` among them.)
+    """
+    base = root.removeprefix("file://").rstrip("/")
+    entries = spark.createDataFrame([(e,) for e in sorted(os.listdir(base))], "entry STRING")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for entry in batch["entry"]:
+                top = os.path.join(base, entry)
+                found = [top] if os.path.isfile(top) else (os.path.join(d, f) for d, _, names in os.walk(top) for f in sorted(names))
+                for file in found:
+                    with open(file, "rb") as content:
+                        data = content.read()
+                    try:
+                        text = data.decode("utf-8")
+                    except UnicodeDecodeError:
+                        text = None
+                    yield pd.DataFrame({"path": [os.path.relpath(file, base).replace(os.sep, "/")], "text": [text]})
+
+    return entries.repartition(max(1, min(200, spark.sparkContext.defaultParallelism * 4)), "entry").mapInPandas(run, "path STRING, text STRING")
 
 
 def universe(files: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
