@@ -31,7 +31,9 @@ from marginalia.llm.grammar import Rules, grammars, parse, shared_rules
 from marginalia.llm.words import MEMORY, WordHashes, slices
 
 #: Grammar length per token, and share of tokens under long rules, from which a file counts as written by a program.
+#: Any text's grammar gets shorter per token as the text gets longer; the bound falls with the length beyond LONG_FILE tokens.
 MOST_GRAMMAR = 0.36
+LONG_FILE = 800
 LEAST_REUSE = 0.60
 #: Share of a file's characters in literals from which it counts as data, if its grammar per token is no longer than
 #: MOST_FRAME or it has only FEW_WORDS names and keywords: code with one long literal is none.
@@ -144,7 +146,7 @@ def _judge(batch: pd.DataFrame, shapes: _Shapes, hashes: WordHashes, rules: list
         size = np.fromiter(map(len, flat), np.int64, len(flat))
         out["literal"] = np.bincount(owner, weights=size * literal, minlength=n) / np.maximum(chars, 1)
         lines = np.array([len(t) / (t.count("\n") + 1) for t in texts])
-        repeats = (length >= LEAST_TOKENS) & (out["grammar"] <= MOST_GRAMMAR) & (out["reuse"] >= LEAST_REUSE)
+        repeats = (length >= LEAST_TOKENS) & (out["grammar"] <= MOST_GRAMMAR * np.minimum(1.0, (LONG_FILE / enough) ** 0.25)) & (out["reuse"] >= LEAST_REUSE)
         # Data is literals in a regular frame, or a literal with next to no words of code around it.
         words = np.bincount(owner, weights=~literal & (shape != shapes["\n"]) & np.fromiter(map(_is_word, flat), bool, len(flat)), minlength=n)
         out["data"] = (out["literal"] >= LEAST_LITERAL) & (out["grammar"] <= MOST_FRAME) | (out["literal"] >= 0.9) & (words <= FEW_WORDS) & (chars > 400)
