@@ -6,12 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import cosine
+from marginalia.plans.lineage import cut
 
 
-def ordinals(comments: DataFrame) -> DataFrame:
-    """comments with ordinal: 0, 1, ... among those with equal symbol, kind and fingerprint, in scan order."""
-    order = Window.partitionBy("bound_symbol", "kind", "cosmetic_fingerprint").orderBy(F.split("path", "/"), "span.start_byte", "id")
-    return comments.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int"))
+KEY = ("bound_symbol", "kind", "cosmetic_fingerprint")
+
+
+def ordinals(comments: DataFrame, partitions: int | None = None) -> DataFrame:
+    """comments with ordinal: 0, 1, ... among those with equal symbol, kind and fingerprint, in scan order.
+
+    One identity may hold much of a table (a shebang line does), so identities aren't partitions: rows are sorted in
+    ranges of identity and scan order, numbered within each range, and shifted by what the ranges before hold of the
+    same identity. Only identities that cross a border need a shift, so the list of shifts is no longer than the list
+    of ranges.
+    """
+    n = partitions or int(comments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.split("path", "/"), F.col("span.start_byte"), F.col("id")]
+    ranged = cut(comments.repartitionByRange(n, *KEY, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range", *KEY).agg(F.count("*").alias("_n"))
+    crossing = counts.groupBy(*KEY).agg(F.collect_list(F.struct("_range", "_n")).alias("_all")).where(F.size("_all") > 1)
+    before = lambda r: F.aggregate(F.filter("_all", lambda x: x["_range"] < r["_range"]), F.lit(0).cast("bigint"), lambda a, x: a + x["_n"])
+    shifts = crossing.select(*KEY, F.explode(F.transform("_all", lambda r: F.struct(r["_range"].alias("_range"), before(r).alias("_shift")))).alias("s")).select(*KEY, "s.*")
+    within = F.row_number().over(Window.partitionBy("_range", *KEY).orderBy(*order))
+    a, b = ranged.withColumn("_within", within).alias("a"), F.broadcast(shifts).alias("b")
+    same = F.col("a._range") == F.col("b._range")
+    for k in KEY:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    ordinal = (F.col("a._within") - 1 + F.coalesce("b._shift", F.lit(0))).cast("int").alias("ordinal")
+    return a.join(b, same, "left").select(*[F.col(f"a.{c}") for c in comments.columns], ordinal)
 
 
 def lookup(identities: DataFrame, symbol: str | None, kind: str, fingerprint: str) -> DataFrame:
@@ -24,20 +46,27 @@ def match(queries: DataFrame, stored: DataFrame, least: float = 0.8, by_vector:
     """query_id, id, tier: the stored comment that each query is, by the first tier that has one.
 
     Tiers: 1 equal text, 2 equal symbol and fingerprint, 3 equal fingerprint under another symbol, 4 equal symbol and
-    kind with a cosine of at least `least`, if exactly one candidate has it. Within a tier the smallest id wins. Every
-    tier is an equi-join, and the best match of a tier is taken by an aggregate before tiers are combined.
+    kind with a cosine of at least `least`, if exactly one candidate has it. Within a tier the smallest id wins. The
+    first three tiers join with one row for each key; the fourth compares the comments of one symbol with each other.
     """
     q = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "content_hash", "bound_symbol", "cosmetic_fingerprint", "kind", "vector")])
     s = stored.select("id", "content_hash", "bound_symbol", "cosmetic_fingerprint", "kind", "vector")
+    # The stored side has one row for each key before it is joined, so that a text which is everywhere costs one row.
+    by_text = s.groupBy("content_hash").agg(F.min("id").alias("id"))
+    by_symbol = s.groupBy("cosmetic_fingerprint", "bound_symbol").agg(F.min("id").alias("id"))
+    first = by_symbol.groupBy("cosmetic_fingerprint").agg(F.min(F.struct("id", "bound_symbol")).alias("one"))
+    rest = by_symbol.join(first, "cosmetic_fingerprint").where(~F.col("bound_symbol").eqNullSafe(F.col("one.bound_symbol")))
+    second = rest.groupBy("cosmetic_fingerprint").agg(F.min("id").alias("two"))
+    by_print = first.join(second, "cosmetic_fingerprint", "left")
 
     def best(joined: DataFrame, tier: int) -> DataFrame:
-        return joined.groupBy("q_id").agg(F.min("id").alias("id")).withColumn("tier", F.lit(tier))
+        return joined.select("q_id", "id").where(F.col("id").isNotNull()).withColumn("tier", F.lit(tier))
 
-    same_print = q["q_cosmetic_fingerprint"] == s["cosmetic_fingerprint"]
+    other = F.when(F.col("q_bound_symbol").eqNullSafe(F.col("one.bound_symbol")), F.col("two")).otherwise(F.col("one.id"))
     tiers = [
-        best(q.join(s, q["q_content_hash"] == s["content_hash"]), 1),
-        best(q.join(s, same_print & q["q_bound_symbol"].eqNullSafe(s["bound_symbol"])), 2),
-        best(q.join(s, same_print & ~q["q_bound_symbol"].eqNullSafe(s["bound_symbol"])), 3),
+        best(q.join(by_text, q["q_content_hash"] == by_text["content_hash"]), 1),
+        best(q.join(by_symbol, (q["q_cosmetic_fingerprint"] == by_symbol["cosmetic_fingerprint"]) & q["q_bound_symbol"].eqNullSafe(by_symbol["bound_symbol"])), 2),
+        best(q.join(by_print, q["q_cosmetic_fingerprint"] == by_print["cosmetic_fingerprint"]).withColumn("id", other), 3),
     ]
     if by_vector:
         near = q.join(s, (q["q_bound_symbol"] == s["bound_symbol"]) & (q["q_kind"] == s["kind"])).where(

@@ -109,6 +109,15 @@ def test_tiers(spark):
     assert {(r.query_id, r.id, r.tier) for r in identity.match(asked, stored).collect()} == {(10, 1, 1), (11, 2, 2), (12, 3, 3), (13, 3, 4)}
 
 
+def test_ordinals_across_ranges(spark):
+    rows = [(i, f"d/{i % 7}", (i, i + 1, 1, 1), None if i % 3 else "s", "line", "p") for i in range(200)]
+    df = spark.createDataFrame(rows, f"id long, path string, span {SPAN}, bound_symbol string, kind string, cosmetic_fingerprint string")
+    got = {r.id: r.ordinal for r in identity.ordinals(df, 5).collect()}
+    for symbol in (None, "s"):
+        own = sorted((r for r in rows if r[3] == symbol), key=lambda r: (r[1].split("/"), r[2][0], r[0]))
+        assert [got[r[0]] for r in own] == list(range(len(own)))
+
+
 def test_references(spark):
     texts = ["// mirrors `gone()` upstream", "see `compute`", "the `vanished` helper", ":func:`missing_fn`", "prefer check_and_create_session()", "token(s)", "`None` and `True`", "``two `ticks` ``"]
     df = spark.createDataFrame([(i, "a.py", t, "explanatory_note") for i, t in enumerate(texts)], "id long, path string, raw_text string, intent string")
