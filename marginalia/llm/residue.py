@@ -15,9 +15,11 @@ without any trusted passage nothing is found; texts are read whole; other column
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
@@ -70,13 +72,17 @@ TRUSTED = re.compile(
     | (?:\#*\s*(?:\$\{[\w.]+\}|\[[a-z]+[_.][a-z_.]+\]|\[(?:version|description|title|author)\])\s*) | (?:(?:hello|welcome\ to|contact|version|licence|owner|reviewer)\b:?\ (?:\$\{[\w.]+\}|\[[\w.]+\])[^\n`"=;]{0,60})
     """
 )
-#: Lower-case pieces of which each trusted passage has one; a text without them has no trusted passage.
+#: Lower-case pieces of which each trusted passage has one (or it repeats one word); a text without them has no trusted passage.
 HINTS = (
-    "script", "skript", "denied", "forbidden", "blocked", "denegado", "refusé", "verweigert", "error", "erreur", "fehler",
-    "not found", "gateway", "unavailable", "unauthorized", "too many requests", "served", "expired", "can't find", "can’t find", "traceback",
-    "rencontré", "disponible", "verfügbar", "erreichbar", "lorem", "ipsum", "viverra", "mollis", "xxx", "asdf", "test test", "abc def", "goes here", "placeholder", "dummy",
-    "will follow", "beispieltext", "platzhalter", "texte ", "texto ", "first page", "first post", "start writing", "todo", "[", "<", "dd/mm/yyyy",
-    "one moment", "checking ", "slow down", "human", "sign in again", "firstname", "undefined", "{{", "%%", "<%", "${", " text here", "content here",
+    "javascript", "scripts", "script ", "skript", "access denied", "forbidden", "blocked", "denegado", "refusé", "verweigert",
+    "error:", "error 4", "error 5", "error>", '"error"', "error occurred", "error establishing", "erreur 4", "erreur 5", "fehler 4", "fehler 5",
+    "not found", "bad gateway", "gateway time", "unavailable", "unauthorized", "too many requests", "be served", "not available", "has expired",
+    "can't find the page", "can’t find the page", "traceback (", "a rencontré", "no está disponible", "nicht verfügbar", "nicht erreichbar",
+    "lorem", "ipsum", "viverra", "mollis", "vitae", "donec", "tellus", "felis", "sapien", "turpis", "test test", "abc def", "goes here", "text here", "content here",
+    "description here", "placeholder", "dummy", "sample text", "sample content", "sample copy", "will follow", "beispieltext", "platzhalter", "texte provisoire",
+    "texte à", "texto de", "first page", "first post", "start writing", "todo: ", "todo replace", "todo describe", "todo write", "todo fill", "[", "<%", "<insert",
+    "<html", " here>", "à compléter>", "einfügen>", "eintragen>", "aquí>", "dd/mm/yyyy", "dear firstname", "undefined by", "{{", "%%", "${", "one moment",
+    "checking your", "checking if", "slow down", "human", "sign in again", "page could not", "page is", "page was", "site is", "service is", "repository is",
 )
 
 _TOKEN = re.compile(
@@ -127,32 +133,66 @@ def _standing(passage: str) -> bool:
     )
 
 
+class _Hints:
+    """Places of HINTS in a lower-case text, by one automaton for all of them."""
+
+    def __init__(self) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for hint in HINTS:
+            self.automaton.add_word(hint, len(hint))
+        self.automaton.make_automaton()
+
+    def places(self, low: str) -> list[int]:
+        found = []
+        for end, size in self.automaton.iter(low):
+            start = end - size + 1
+            # A bracket behind a word or before no letter is code.
+            if low[start] == "[" and (low[start - 1 : start].isalnum() or not low[end + 1 : end + 2].isalpha()):
+                continue
+            found.append(start)
+        return found
+
+
+def _repeats(numbers: np.ndarray) -> bool:
+    """Whether a word stands five times in a row."""
+    same = (numbers[1:] == numbers[:-1]) & (numbers[1:] > _NUMBER)
+    return bool(len(same) > 3 and (same[3:] & same[2:-1] & same[1:-2] & same[:-3]).any())
+
+
+def _bounds(raw: str, words: list[str], ends: set[int]) -> list[int]:
+    """Where the passages of a text end: at the places of its tokens with the numbers `ends`, and at its end."""
+    out, at, find = [], 0, raw.find
+    for i, word in enumerate(words):
+        at = find(word, at) + len(word)
+        if i in ends:
+            out.append(at)
+    return [*out, len(raw)]
+
+
 def tokenize(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tokens (buckets as 4-byte numbers), trusted and standing (one byte for each passage)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = TokenIds()
-        code = np.array([TokenIds()[x] for x in _CODE], np.int32)
+        ids, hints = TokenIds(), _Hints()
+        is_code = np.zeros(BUCKETS, bool)
+        is_code[[ids[x] for x in _CODE]] = True
         for batch in batches:
             tokens, trusted, standing = [], [], []
             for raw in batch["text"]:
                 raw = raw if raw.isascii() else _SPACES.sub(" ", raw)
-                found = [m for m in _TOKEN.finditer(raw)] if any(h in (low := raw.lower()) for h in HINTS) else None
-                if found is None:
-                    words = _TOKEN.findall(raw)
-                    numbers = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                else:
-                    numbers = np.fromiter((ids[m[0]] for m in found), np.int32, len(found))
+                words = _TOKEN.findall(raw)
+                numbers = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
                 ends = np.flatnonzero(numbers == _END)
                 marks = np.zeros(len(ends) + 1, np.uint8)
                 stands = np.ones(len(ends) + 1, np.uint8)
-                if found is None:
-                    stands[np.searchsorted(ends, np.flatnonzero(np.isin(numbers, code)))] = 0
-                if found is not None:
-                    start = 0
-                    for i, stop in enumerate([*(found[e].end() for e in ends), len(raw)]):
-                        passage = raw[start:stop].strip()
-                        start = stop
+                stands[np.searchsorted(ends, np.flatnonzero(is_code[numbers]))] = 0
+                places = hints.places(raw.lower() if raw.isascii() else _same_length_lower(raw))
+                repeats = _repeats(numbers)
+                if places or repeats:
+                    bounds = _bounds(raw, words, set(ends.tolist()))
+                    asked = range(len(bounds)) if repeats else sorted({bisect.bisect_right(bounds, p) for p in places})
+                    for i in asked:
+                        passage = raw[bounds[i - 1] if i else 0 : bounds[i]].strip()
                         if passage:
                             marks[i] = TRUSTED.fullmatch(passage.lstrip("#>*- \t")) is not None
                             stands[i] = _standing(passage)
@@ -165,6 +205,12 @@ def tokenize(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return rows.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, _TOKENS)
 
 
+def _same_length_lower(text: str) -> str:
+    """Lower case that keeps every place (a few letters get longer in lower case; these stay)."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _passages(batch: pd.DataFrame) -> tuple[np.ndarray, ...]:
     """Of a batch: the bucket of each word and pair, the passage of each, marks of the passages, and their documents."""
     tokens = np.frombuffer(b"".join(batch["tokens"]), np.int32)
