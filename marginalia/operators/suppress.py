@@ -121,3 +121,20 @@ def export_directives(findings: DataFrame, word: str = DIRECTIVE_WORD) -> DataFr
     rules = F.array_join(F.array_sort(F.collect_set("provider_rule_id")), ",")
     rows = findings.groupBy(F.col("file_path").alias("path"), F.col("span.start_line").alias("line"), "origin")
     return rows.agg(F.concat(F.lit(f"{word}:disable-line="), rules).alias("directive"))
+
+
+def placements(exported: DataFrame, files: DataFrame, word: str = DIRECTIVE_WORD) -> DataFrame:
+    """path, span, new_text: edits that put exported directives behind their lines; `edit.apply_edits` checks them.
+
+    Several origins on one line share a comment. Lines that hold a directive already stay as they are, so that
+    placing twice changes nothing.
+    """
+    lines = exported.groupBy("path", "line").agg(F.array_join(F.array_sort(F.collect_set("directive")), " ").alias("directive"))
+    texts = files.select("path", "language", F.split("text", "\n").alias("rows"))
+    row = F.try_element_at("rows", F.col("line"))
+    before = F.when(F.col("line") > 1, F.octet_length(F.array_join(F.slice("rows", F.lit(1), F.col("line") - 1), "\n")) + 1).otherwise(F.lit(0))
+    end = (before + F.octet_length(F.regexp_replace(row, r"\s+$", ""))).cast("bigint")
+    mark = F.when(F.col("language").isin("python", "shell"), "  # ").otherwise("  // ")
+    placed = lines.join(texts, "path").where(row.isNotNull() & ~row.contains(f"{word}:"))
+    span = F.struct(end.alias("start_byte"), end.alias("end_byte"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
+    return placed.select("path", span.alias("span"), F.concat(mark, "directive").alias("new_text"))

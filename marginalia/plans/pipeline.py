@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import hash_embedding
 from marginalia.operators import edit, extract, findings, issues, providers, rank, rot, search, suppress
 from marginalia.schema import SUPPRESSED_KINDS, categories
+from marginalia.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -141,6 +142,26 @@ def suppressions_export(checked: DataFrame) -> DataFrame:
     return suppress.export_directives(checked)
 
 
+def suppressions_place(session: Session, checked: DataFrame) -> DataFrame:
+    """The files with directives for all findings put behind their lines, where that leaves the code alone."""
+    return edit.apply_edits(session.files, suppress.placements(suppress.export_directives(checked), session.files))
+
+
+def known_providers(spark: SparkSession) -> DataFrame:
+    """provider, languages, categories, comment_scoped, supports_fix of the built-in manifests."""
+    rows = [(m.id, list(m.languages), sorted({*m.category_map.values(), *([m.default_category] if m.default_category else [])}), m.comment_scoped, m.supports_fix) for m in providers.BUILT_IN]
+    return spark.createDataFrame(rows, "provider STRING, languages ARRAY<STRING>, categories ARRAY<STRING>, comment_scoped BOOLEAN, supports_fix BOOLEAN")
+
+
+def report(checked: DataFrame, comments: DataFrame, runs: DataFrame, folder: str, fail_on: str = "error") -> DataFrame:
+    """Writes SARIF, Markdown rows and JSON lines of a check below a folder; gives its verdict."""
+    shown = suppress.live(checked)
+    sinks.write_sarif(shown, f"{folder}/sarif")
+    sinks.markdown_rows(shown).select("value").write.mode("overwrite").text(f"{folder}/markdown")
+    sinks.write_jsonl(comments, f"{folder}/jsonl")
+    return findings.verdict(shown, runs, fail_on)
+
+
 def issues_sync(session: Session, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What to file, and which comments are done."""
     tokens = issues.marker_tokens(session.comments)

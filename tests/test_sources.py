@@ -66,6 +66,35 @@ def test_sinks(spark, session, tmp_path):
     assert sinks.open_index(spark, f"{tmp_path}/index")["identity"].count() == session.comments.count()
 
 
+def test_report_and_placements(spark, session, tmp_path):
+    checked = pipeline.check(session)
+    runs = spark.createDataFrame([("ruff", "SUCCESS")], "provider string, run_state string")
+    assert pipeline.report(checked, session.comments, runs, str(tmp_path)).first().verdict == "fail"
+    assert (tmp_path / "sarif").exists() and (tmp_path / "markdown").exists() and (tmp_path / "jsonl").exists()
+    placed = {r.path: r for r in pipeline.suppressions_place(session, checked).collect()}
+    assert placed["s.sh"].ok and "# reads missing.html and ./s.sh  # marginalia:disable-line=native:rot_path" in placed["s.sh"].new_text
+    again = session.files.join(spark.createDataFrame([(p, r.new_text) for p, r in placed.items()], "path string, t string"), "path").select("path", "language", F.col("t").alias("text"))
+    from marginalia.operators import suppress
+
+    assert suppress.placements(suppress.export_directives(checked), again).where("path = 's.sh'").count() == 0
+    assert pipeline.known_providers(spark).count() == 3
+
+
+def test_sql_functions_and_embedder(spark, session):
+    from marginalia.functions import sql
+    from marginalia.operators.embed import HashEmbedder, missing_vectors, with_vectors
+
+    sql.register(spark)
+    row = spark.sql("SELECT comment_tokens('A b,c!') t, utf16_length('a💩') u, qualified_rule('r', 'D1') q, spans_overlap(0, 2, 1, 3) o, severity_rank('error') s, severity_rank('x') n").first()
+    assert (row.t, row.u, row.q, row.o, row.s, row.n) == (["a", "b", "c"], 3, "r:D1", True, 2, None)
+    first = session.comments.select("content_hash").first().content_hash
+    cache = spark.createDataFrame([(first, "det64/1", [0.5])], "content_hash string, model_version string, vector array<float>")
+    texts = session.comments.select("content_hash").distinct().count()
+    assert missing_vectors(session.comments, cache, "det64/1").count() == texts - 1
+    out = {r.content_hash: r.vector for r in with_vectors(session.comments, cache, HashEmbedder()).collect()}
+    assert len(out) == texts and out[first] == [0.5]
+
+
 def test_walk(spark, tmp_path):
     for name, text in {"a.py": "x = 1\n", "b/tool": "#!/usr/bin/env bash\n", ".hidden.py": "x\n", "gen.py": "# @generated\n", "dist/c.js": "1\n", "d.txt": "no\n", "b/__init__.py": "", "big.js": "a" * 3000}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
