@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import subprocess
 
@@ -17,7 +18,8 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def session(spark):
-    return pipeline.scan(spark.createDataFrame(ROWS, "path string, language string, text string"))
+    made = pipeline.scan(spark.createDataFrame(ROWS, "path string, language string, text string").cache())
+    return dataclasses.replace(made, comments=made.comments.cache())
 
 
 def test_check(session):
