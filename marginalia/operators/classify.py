@@ -42,10 +42,9 @@ def inner_text(raw: Column) -> Column:
 
 def kind(raw: Column, language: Column, start_line: Column, is_docstring: Column) -> Column:
     """The kind of a comment: the first rule that holds."""
-    inner = inner_text(raw)
-    is_directive = F.lit(False)
-    for word in (f"{DIRECTIVE_WORD}:", *DIRECTIVES):
-        is_directive = is_directive | inner.startswith(word)
+    words = "|".join(map(re.escape, (f"{DIRECTIVE_WORD}:", *DIRECTIVES)))
+    # One pattern for mark, blanks and word: the text behind the mark begins with a directive.
+    is_directive = raw.rlike(rf"^ *(?:/\*\*|/\*|//|#)? *(?:{words})")
     is_license = any_contains(F.lower(raw), LICENSE_WORDS)
     return (
         F.when(is_docstring, "docstring")

@@ -78,7 +78,7 @@ def fn_hash_buckets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def fn_hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
     """Hash embeddings of all documents, one row for each bucket that isn't zero."""
-    e = V.hash_embedding(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    e = V.hash_embedding(table(spark, folder, "documents", "doc_id", "text", spread=True), "doc_id", "text")
     return e.select("doc_id", F.posexplode("vector").alias("bucket", "x")).where("x > 0").select("doc_id", "bucket", F.round("x", 6).alias("x"))
 
 
@@ -337,7 +337,7 @@ def wn_budget_page(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def wn_keyword_search(spark: SparkSession, folder: str) -> DataFrame:
-    top = search.keyword(table(spark, folder, "documents", "doc_id", "text"), WORDS, 20, "doc_id", "text")
+    top = search.keyword(table(spark, folder, "documents", "doc_id", "text", spread=True), WORDS, 20, "doc_id", "text")
     return top.select("id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -355,7 +355,7 @@ def wn_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def wn_fused(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by words and by length, fused by reciprocal ranks."""
-    d = table(spark, folder, "documents", "doc_id", "text", "n_chars")
+    d = table(spark, folder, "documents", "doc_id", "text", "n_chars", spread=True)
     words = search.keyword(d, WORDS, 100, "doc_id", "text").select("id", "rank")
     order = [F.desc("n_chars"), F.asc("doc_id")]
     longest = d.orderBy(*order).limit(100).select(F.col("doc_id").alias("id"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
