@@ -15,19 +15,19 @@ COMPARED_KINDS = ("line", "block", "docstring")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files that a tool wrote, a machine bundled, a third party wrote, or that are data."""
     return machine.machine_paths(
-        table(spark, folder, "walked_files", "path", "text"), table(spark, folder, "upstream_files", "text")
+        table(spark, folder, "walked_files", "path", "text", spread=True), table(spark, folder, "upstream_files", "text")
     )
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Comments that hold a credential."""
-    return credentials.found_ids(table(spark, folder, "comments", "id", "raw_text"))
+    return credentials.found_ids(table(spark, folder, "comments", "id", "raw_text", spread=True))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Functions whose documentation is a comment of the same file and says something."""
     return docpairs.documented(
-        table(spark, folder, "walked_files", "path", "language", "text"),
+        table(spark, folder, "walked_files", "path", "language", "text", spread=True),
         table(spark, folder, "comments", "path", "content_hash"),
     )
 
@@ -45,19 +45,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in containers of 2048 tokens."""
-    return packing.pack(table(spark, folder, "documents", "doc_id", "text"))
+    return packing.pack(table(spark, folder, "documents", "doc_id", "text", spread=True))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of a benchmark item."""
     return leaks.leaks(
-        table(spark, folder, "benchmark_items", "item_id", "text"), table(spark, folder, "documents", "doc_id", "text")
+        table(spark, folder, "benchmark_items", "item_id", "text"), table(spark, folder, "documents", "doc_id", "text", spread=True)
     )
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with template residue, filler, error-page or script notices."""
-    return residue.residue(table(spark, folder, "documents", "doc_id", "text")).select("doc_id")
+    return residue.residue(table(spark, folder, "documents", "doc_id", "text", spread=True)).select("doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
