@@ -1,15 +1,15 @@
 """The most similar vectors of every vector, by collision counting over sorted projections.
 
 Vectors are scaled to unit length. Each of several tables cuts the space into cells by windows over a few random
-projections; inside a cell the vectors lie sorted by one more projection, and each looks at the others in a window
-around its own place. Over a further set of projections the collisions are counted: a pair whose projections lie
-within a window of each other often enough is a candidate, and only candidates are verified by their cosine. How many
-projections cut a cell, and how many tables there are, follows from the number of vectors and the similarity sought.
-Cells that hold much of a sample are rehashed with narrower windows (virtual rehashing), where the nearest still lie.
+projections; inside a cell each vector looks at all others. Over a further set of projections the collisions are
+counted: a pair whose projections lie within a window of each other often enough is a candidate, and only candidates are
+verified by their cosine. How many projections cut a cell, and how many tables there are, follows from the number of
+vectors and the similarity sought. Cells that hold much of a sample are dealt out to salted blocks, and each pair of
+blocks is one task's group, in which the most similar of each vector are found exactly; nothing in such a cell is lost.
 
 Equal directions are one class from the start, so copies cost nothing: classes are compared, and a class gives its
 members with the smallest hashes to its neighbours' lists, which is all a list of k needs. The cells' rows carry a
-class number and 16 bytes; vectors are shuffled once, for verifying.
+class number and 16 bytes, in crowded cells the vector; else vectors are shuffled once, for verifying.
 
 Defined results: vectors that are null, of another length, all zero, or with NaN, infinite or null values take no part,
 nor do rows without hash or model; repeated rows count once; of equal similarities the smaller hash comes first (own
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.words import mix
+from marginalia.llm.words import mix, slices
 
 #: Width of the windows that cut cells, and the half width within which projections collide, for unit vectors.
 WIDTH = 1.8
@@ -39,13 +39,17 @@ LEAST_COLLISIONS = 28
 CELL = 100
 LAID_OUT_FOR = 0.93
 MISS = 0.03
-#: Places in the sorted cell that a vector looks ahead.
-WINDOW = 2048
 #: The sample in which crowded cells are sought: at most this many vectors; a cell is crowded if it holds more than this
-#: share of it, and by that share many times what a cell should hold.
+#: share of it, and by that share more than CROWD vectors. It gets one block for each BLOCK of them.
 SAMPLE = 8192
-CROWDED = 0.01
-CROWD = 10 * CELL
+CROWDED = 0.0025
+CROWD = 512
+BLOCK = 8192
+#: Vectors of a block that are compared at once with the other block, and candidates kept beyond k for rounding.
+AT_ONCE = 1024
+SPARE = 6
+ROUNDING = 1e-4
+ROWS_AT_ONCE = 50_000
 SEED = 20240229
 
 _CELLS = "cell BIGINT, place FLOAT, class BIGINT, sketch BINARY"
@@ -113,24 +117,30 @@ class _Tables:
         self.by_cell = rng.standard_normal((size, tables * cuts)).astype(np.float32)
         self.shift = rng.uniform(0, WIDTH, tables * cuts).astype(np.float32)
         self.sorted_by = rng.standard_normal((size, tables)).astype(np.float32)
-        self.narrow = rng.standard_normal((size, 6)).astype(np.float32)
+        self.salt = rng.integers(1, 1 << 62, size)
 
     def cells(self, units: np.ndarray, models: np.ndarray, crowded: list[np.ndarray]) -> np.ndarray:
-        """The cell of each vector in each table; crowded cells are cut further, with windows half as wide each time."""
+        """The cell of each vector in each table; crowded cells are cut into their blocks."""
         steps = np.floor((units @ self.by_cell + self.shift) / WIDTH).astype(np.int64).reshape(len(units), self.tables, self.cuts)
         cell = np.broadcast_to(models[:, None], steps.shape[:2]).astype(np.uint64) + np.arange(self.tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for i in range(self.cuts):
             cell = mix(cell * np.uint64(31) + steps[:, :, i].view(np.uint64))
-        for level, cells in enumerate(crowded):
-            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1) if len(cells) else None
-            if at is None:
-                break
-            row, table = np.nonzero(cells[at] == cell)
-            finer = np.floor(units[row] @ self.narrow / (WIDTH / 2 ** (level + 1))).astype(np.int64)
-            for i in range(finer.shape[1]):
-                cell[row, table] = mix(cell[row, table] * np.uint64(31) + finer[:, i].view(np.uint64))
+        row, table, block, _ = self.blocks(units, cell, crowded)
+        cell[row, table] = mix(cell[row, table] * np.uint64(31) + block)
         return cell
 
+    def blocks(self, units: np.ndarray, cell: np.ndarray, crowded: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Row, table, block and number of blocks of each place in a crowded cell. crowded: cells in order, and blocks of each."""
+        if not crowded:
+            none = np.zeros(0, np.int64)
+            return none, none, none.view(np.uint64), none
+        hot, number = crowded
+        at = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+        row, table = np.nonzero(hot[at] == cell)
+        number = number[at[row, table]]
+        salt = mix((np.round(units * 1e5).astype(np.int64) @ self.salt).view(np.uint64))
+        return row, table, salt[row] % number.astype(np.uint64), number
+
     def sketches(self, units: np.ndarray) -> np.ndarray:
         """The counted projections in steps, two to a byte."""
         steps = np.clip(np.floor(units @ self.counted / STEP) + 8, 0, 15).astype(np.uint8)
@@ -141,25 +151,24 @@ def _model_numbers(models: pd.Series) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(m.encode()) for m in models], np.uint64)
 
 
-def crowded_cells(sample: pd.DataFrame, size: int, tables: _Tables, n: int, levels: int = 3) -> list[np.ndarray]:
-    """Cells that hold more than their share of a sample of n vectors, level by level; at most levels * tables / CROWDED."""
-    found: list[np.ndarray] = []
+def crowded_cells(sample: pd.DataFrame, size: int, tables: _Tables, n: int) -> list[np.ndarray]:
+    """Cells that hold more than their share of a sample of n vectors, in order, and the blocks of each; at most tables / CROWDED."""
     rows, unit, classes = _directions(sample, size)
     _, once = np.unique(classes, return_index=True)
     unit, models = unit[once], _model_numbers(rows["model_version"].iloc[once])
-    if len(unit) < 2 / CROWDED:
-        return found
-    for _ in range(levels):
-        cell, count = np.unique(tables.cells(unit, models, found), return_counts=True)
-        hot = cell[count > max(CROWDED, CROWD / max(n, 1)) * len(unit)]
-        if not len(hot):
-            break
-        found.append(hot)
-    return found
+    if not len(unit):
+        return []
+    cell, count = np.unique(tables.cells(unit, models, []), return_counts=True)
+    hot = count > max(CROWDED, CROWD / max(n, 1)) * len(unit)
+    return [cell[hot], np.ceil(count[hot] / len(unit) * n / BLOCK).astype(np.int64)] if hot.any() else []
 
 
 def place_in_cells(vectors: DataFrame, size: int, tables: object) -> DataFrame:
-    """A row for each class and table: _CELLS. tables: a broadcast of (_Tables, crowded cells)."""
+    """_CELLS: a row for each class and table. tables: a broadcast of (_Tables, crowded cells).
+
+    In a crowded cell a class has a row for each pair of blocks that its own is one of: with its vector, and with 0 or 1
+    as the place, which tells the two blocks apart.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, crowded = tables.value
@@ -173,16 +182,33 @@ def place_in_cells(vectors: DataFrame, size: int, tables: object) -> DataFrame:
             if not len(once):
                 continue
             unit, classes = unit[once], classes[once]
-            cell = t.cells(unit, _model_numbers(rows["model_version"].iloc[once]), crowded).view(np.int64)
+            cell = t.cells(unit, _model_numbers(rows["model_version"].iloc[once]), [])
+            row, table, block, number = t.blocks(unit, cell, crowded)
+            sparse = np.ones(cell.shape, bool)
+            sparse[row, table] = False
             sketch = [x.tobytes() for x in t.sketches(unit)]
             yield pd.DataFrame(
                 {
-                    "cell": cell.ravel(),
-                    "place": (unit @ t.sorted_by).ravel(),
-                    "class": np.repeat(classes, t.tables),
-                    "sketch": [x for x in sketch for _ in range(t.tables)],
+                    "cell": cell[sparse].view(np.int64),
+                    "place": (unit @ t.sorted_by)[sparse],
+                    "class": np.repeat(classes, sparse.sum(axis=1)),
+                    "sketch": [sketch[i] for i in np.nonzero(sparse)[0].tolist()],
                 }
             )
+            # A slice of places at a time, as each has as many rows as its cell has blocks.
+            for a, b in slices(number.tolist(), ROWS_AT_ONCE):
+                of = np.repeat(np.arange(a, b), number[a:b])
+                own = block[of]
+                other = (np.arange(len(of)) - np.repeat(np.cumsum(number[a:b]) - number[a:b], number[a:b])).astype(np.uint64)
+                pair = mix(cell[row[of], table[of]] * np.uint64(31) + np.minimum(own, other))
+                yield pd.DataFrame(
+                    {
+                        "cell": mix(pair * np.uint64(31) + np.maximum(own, other)).view(np.int64),
+                        "place": (own > other).astype(np.float32),
+                        "class": classes[row[of]],
+                        "sketch": [unit[i].tobytes() for i in row[of].tolist()],
+                    }
+                )
 
     return vectors.mapInPandas(run, _CELLS)
 
@@ -194,25 +220,68 @@ def _steps(sketch: pd.Series) -> np.ndarray:
     return out
 
 
-def count_collisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """a, b: pairs of one cell that lie in each other's window and collide in enough projections.
-
-    Rows come sorted by cell and place. Memory: a batch and the WINDOW rows before it.
+def most_similar(own: np.ndarray, others: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs: for each of own, the k + SPARE most similar others at a cosine of at least `least`, up to rounding."""
+    found_a, found_b = [], []
+    for start in range(0, len(own), AT_ONCE):
+        cosine = own[start : start + AT_ONCE] @ others.T
+        if cosine.shape[1] > k + SPARE:
+            best = np.argpartition(cosine, -(k + SPARE), axis=1)[:, -(k + SPARE) :]
+        else:
+            best = np.broadcast_to(np.arange(cosine.shape[1]), cosine.shape)
+        row, nth = np.nonzero(np.take_along_axis(cosine, best, 1) >= least - ROUNDING)
+        found_a.append(row + start)
+        found_b.append(best[row, nth])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def compare_blocks(cell: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
+    """a, b: the most similar of each vector of a pair of blocks in the other block (or in the only one), exactly."""
+    cell = cell.drop_duplicates("class")
+    side, cls = cell["place"].to_numpy() > 0, cell["class"].to_numpy()
+    unit = np.frombuffer(b"".join(cell["sketch"]), np.float32).reshape(len(cell), -1)
+    if side.any():
+        a, b = most_similar(unit[~side], unit[side], k, least)
+        c, d = most_similar(unit[side], unit[~side], k, least)
+        x, y = np.concatenate([cls[~side][a], cls[~side][d]]), np.concatenate([cls[side][b], cls[side][c]])
+    else:
+        # One more, as each finds itself.
+        a, b = most_similar(unit, unit, k + 1, least)
+        x, y = cls[a], cls[b]
+    found = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+    return found[found["a"] != found["b"]].drop_duplicates()
+
+
+def count_collisions(batches: Iterator[pd.DataFrame], k: int = 10, least: float = 0.90) -> Iterator[pd.DataFrame]:
+    """a, b: pairs of one cell that collide in enough projections; of crowded cells the most similar pairs.
+
+    Rows come sorted by cell and place. Memory: a batch and what came before of its last cell.
     """
     kept: tuple[np.ndarray, ...] | None = None
+    held: pd.DataFrame | None = None
     for batch in batches:
+        exact = batch["sketch"].str.len().to_numpy() > COUNTED // 2
+        dense, batch = batch[exact], batch[~exact]
+        if len(dense):
+            held = dense if held is None else pd.concat([held, dense])
+            last = held["cell"].iloc[-1]
+            for _, cell in held[held["cell"] != last].groupby("cell", sort=False):
+                yield compare_blocks(cell, k, least)
+            held = held[held["cell"] == last]
+        if not len(batch):
+            continue
         cell, cls, steps = batch["cell"].to_numpy(), batch["class"].to_numpy(), _steps(batch["sketch"])
         old = 0
         if kept is not None:
             old = len(kept[0])
             cell, cls, steps = (np.concatenate([x, y]) for x, y in zip(kept, (cell, cls, steps), strict=True))
         pairs_a, pairs_b = [], []
-        left = np.arange(len(cell) - 1)
-        for ahead in range(1, WINDOW + 1):
+        left, ahead = np.arange(len(cell) - 1), 0
+        while len(left):
+            ahead += 1
             left = left[left + ahead < len(cell)]
             left = left[cell[left] == cell[left + ahead]]
-            if not len(left):
-                break
             now = left[(left + ahead >= old)]
             if not len(now):
                 continue
@@ -220,14 +289,16 @@ def count_collisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = cls[now[near]], cls[now[near] + ahead]
             pairs_a.append(np.minimum(a, b))
             pairs_b.append(np.maximum(a, b))
-        tail = np.flatnonzero(cell == cell[-1])[-WINDOW:] if len(cell) else np.zeros(0, int)
+        tail = np.flatnonzero(cell == cell[-1])
         kept = cell[tail], cls[tail], steps[tail]
         if pairs_a:
             found = pd.DataFrame({"a": np.concatenate(pairs_a), "b": np.concatenate(pairs_b)})
             yield found[found["a"] != found["b"]].drop_duplicates()
+    if held is not None:
+        yield compare_blocks(held, k, least)
 
 
-def candidates(vectors: DataFrame, size: int) -> DataFrame:
+def candidates(vectors: DataFrame, size: int, k: int = 10, least: float = 0.90) -> DataFrame:
     """a, b: pairs of classes to verify."""
     spark = vectors.sparkSession
     n = vectors.count()
@@ -236,7 +307,7 @@ def candidates(vectors: DataFrame, size: int) -> DataFrame:
     sample = vectors.where(F.pmod(F.xxhash64("content_hash"), F.lit(share)) == 0).limit(SAMPLE).toPandas()
     sent = spark.sparkContext.broadcast((tables, crowded_cells(sample, size, tables, n)))
     cells = place_in_cells(vectors, size, sent).repartition("cell").sortWithinPartitions("cell", "place")
-    return cells.select("cell", "class", "sketch").mapInPandas(count_collisions, "a BIGINT, b BIGINT").distinct()
+    return cells.mapInPandas(lambda batches: count_collisions(batches, k, least), "a BIGINT, b BIGINT").distinct()
 
 
 def verified(vectors: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
@@ -262,7 +333,7 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least: float = 0.90, size: in
     # Rows that can't take part are dropped before anything is read into Python.
     vectors = vectors.where((F.size("vector") == size) & F.col("content_hash").isNotNull() & F.col("model_version").isNotNull())
     vectors = vectors.select("content_hash", "model_version", "vector")
-    close = verified(vectors, candidates(vectors, size), size, least)
+    close = verified(vectors, candidates(vectors, size, k, least), size, least)
     everyone = members(vectors, size)
     in_class = Window.partitionBy("class").orderBy("content_hash")
     first = everyone.withColumn("nth", F.row_number().over(in_class)).where(F.col("nth") <= k + 1)

@@ -220,6 +220,33 @@ def test_crowded_cells_are_cut():
     assert crowded and after < before / 2
 
 
+@pytest.mark.parametrize("block", [neighbours.BLOCK, 300])
+def test_a_topic_with_a_third_of_the_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    topic = rng.standard_normal(64) + rng.standard_normal((3000, 64)) * 0.23  # mean cosine 0.95
+    x = np.concatenate([topic, rng.standard_normal((6000, 64))]).astype(np.float32)
+    rows = [("m", f"h{i:05d}", v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "model_version string, content_hash string, vector array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -1)
+    best = np.argsort(-cosine, axis=1)[:, :10]
+    expected = {tuple(sorted((i, j))) for i in range(len(x)) for j in best[i].tolist() if cosine[i, j] >= 0.90}
+    got = {(int(r.hash_a[1:]), int(r.hash_b[1:])) for r in neighbours.similar_pairs(df).collect()}
+    assert len(expected) > 10_000 and len(got & expected) >= 0.9 * len(expected) and len(got - expected) <= 0.1 * len(got)
+
+
+def test_large_cells_are_compared_whole():
+    import pandas as pd
+
+    sketch = np.random.default_rng(3).integers(0, 256, (5000, 16)).astype(np.uint8)
+    sketch[-1] = sketch[0]
+    rows = pd.DataFrame({"cell": 1, "place": np.arange(5000.0), "class": np.arange(5000), "sketch": [x.tobytes() for x in sketch]})
+    found = pd.concat(neighbours.count_collisions(iter([rows[:2500], rows[2500:]])))
+    assert (0, 4999) in set(zip(found["a"], found["b"], strict=True))
+
+
 # p6
 
 
