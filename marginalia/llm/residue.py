@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from re import _parser as sre
 
 import ahocorasick
 import numpy as np
@@ -58,7 +59,7 @@ TRUSTED = re.compile(
     | (?:one\ moment,[^.\n`"]{0,80}\.?) | (?:checking\ (?:your\ browser|if\ the\ site)[^.\n`"]{0,60}\.?) | (?:too\ many\ requests\.?) | (?:please\ slow\ down[^.\n`"]{0,40}\.?)
     | (?:(?:please\ )?(?:verify|confirm)\ (?:that\ )?you\ are\ (?:a\ )?human[^.\n`"]{0,40}\.?) | (?:(?:page|file)\ not\ found[.!]?) | (?:sign\ in\ again\ to\ continue\.?) | (?:(?:an\ )?(?:unexpected\ |internal\ )?error\ occurred[.!]?)
     # filler
-    | (?:lorem\ ipsum\b[^\n]{0,400}) | (?:(?:(?:lorem|ipsum|dolor|amet|vitae|tellus|mollis|viverra|ornare|rutrum|nibh|felis|turpis|sapien|quis|sit|donec|massa|magna|lacus|velit|augue|auctor|porta|nulla|tempus)[\s,.]+){5,})
+    | (?:lorem\ ipsum\b[^\n]{0,400}) | (?:(?:\b(?:lorem|ipsum|dolor|amet|vitae|tellus|mollis|viverra|ornare|rutrum|nibh|felis|turpis|sapien|quis|sit|donec|massa|magna|lacus|velit|augue|auctor|porta|nulla|tempus)\b[\s,.]+){5,})
     | (?:(\w{2,5})(?:\s+\1){4,}\.?) | (?:test\ test[\w\s]{0,30}) | (?:abc\ def\ ghi[\w\s]{0,40})
     | (?:your\ (?:text|content|description)\ (?:goes\ )?here\.?) | (?:this\ is\ (?:placeholder|dummy|sample)\ (?:copy|text|content)\.?) | (?:real\ content\ will\ follow\.?)
     | (?:beispieltext[^.\n]{0,40}\.?) | (?:platzhaltertext[^.\n]{0,40}\.?) | (?:texte\ (?:provisoire|à\ remplacer)[^.\n]{0,50}\.?) | (?:texto\ de\ (?:relleno|ejemplo)[^.\n]{0,50}\.?)
@@ -72,18 +73,78 @@ TRUSTED = re.compile(
     | (?:\#*\s*(?:\$\{[\w.]+\}|\[[a-z]+[_.][a-z_.]+\]|\[(?:version|description|title|author)\])\s*) | (?:(?:hello|welcome\ to|contact|version|licence|owner|reviewer)\b:?\ (?:\$\{[\w.]+\}|\[[\w.]+\])[^\n`"=;]{0,60})
     """
 )
-#: Lower-case pieces of which each trusted passage has one (or it repeats one word); a text without them has no trusted passage.
-HINTS = (
-    "javascript", "scripts", "script ", "skript", "access denied", "forbidden", "blocked", "denegado", "refusé", "verweigert",
-    "error:", "error 4", "error 5", "error>", '"error"', "error occurred", "error establishing", "erreur 4", "erreur 5", "fehler 4", "fehler 5",
-    "not found", "bad gateway", "gateway time", "unavailable", "unauthorized", "too many requests", "be served", "not available", "has expired",
-    "can't find the page", "can’t find the page", "traceback (", "a rencontré", "no está disponible", "nicht verfügbar", "nicht erreichbar",
-    "lorem", "ipsum", "viverra", "mollis", "vitae", "donec", "tellus", "felis", "sapien", "turpis", "test test", "abc def", "goes here", "text here", "content here",
-    "description here", "placeholder", "dummy", "sample text", "sample content", "sample copy", "will follow", "beispieltext", "platzhalter", "texte provisoire",
-    "texte à", "texto de", "first page", "first post", "start writing", "todo: ", "todo replace", "todo describe", "todo write", "todo fill", "[", "<%", "<insert",
-    "<html", " here>", "à compléter>", "einfügen>", "eintragen>", "aquí>", "dd/mm/yyyy", "dear firstname", "undefined by", "{{", "%%", "${", "one moment",
-    "checking your", "checking if", "slow down", "human", "sign in again", "page could not", "page is", "page was", "site is", "service is", "repository is",
-)
+#: At most so many strings stand for a part of a pattern; a longer part is cut before it gets more.
+_MOST_STRINGS = 64
+
+
+def _strings(item: tuple) -> set[str] | None:
+    """All strings that a part of a parsed pattern matches, in lower case, if these are few."""
+    op, value = item
+    if op is sre.LITERAL:
+        return {chr(value).lower()}
+    if op is sre.IN and all(x[0] is sre.LITERAL for x in value):
+        return {chr(x[1]).lower() for x in value}
+    if op is sre.SUBPATTERN:
+        return _all_strings(value[-1])
+    if op is sre.BRANCH:
+        parts = [_all_strings(x) for x in value[1]]
+        return None if None in parts else set().union(*parts)
+    if op is sre.MAX_REPEAT and value[:2] == (0, 1):
+        once = _all_strings(value[2])
+        return None if once is None else once | {""}
+    return None
+
+
+def _all_strings(items: Iterable[tuple]) -> set[str] | None:
+    out = {""}
+    for item in items:
+        more = _strings(item)
+        out = None if more is None else {x + y for x in out for y in more}
+        if out is None or len(out) > _MOST_STRINGS:
+            return None
+    return out
+
+
+def _needed(items: Iterable[tuple]) -> set[tuple[str, bool, bool]]:
+    """Pieces of which each match of a parsed pattern has one, and whether a word starts and ends with it; empty if none is known."""
+    options: list[set[tuple[str, bool, bool]]] = []
+    run, starts = {""}, False
+
+    def close(ends: bool) -> None:
+        if "" not in run:
+            options.append({(x, starts, ends) for x in run})
+
+    for item in [*items, (sre.AT, None)]:
+        op, value = item
+        more = _strings(item)
+        if more is not None and len(run) * len(more) <= _MOST_STRINGS:
+            run = {x + y for x in run for y in more}
+            continue
+        boundary = op is sre.AT and value is sre.AT_BOUNDARY
+        close(boundary)
+        run, starts = more or {""}, boundary
+        if op is sre.SUBPATTERN or op is sre.MAX_REPEAT and value[0] > 0:
+            options.append(_needed(value[-1]))
+        elif op is sre.BRANCH:
+            parts = [_needed(x) for x in value[1]]
+            options.append(set().union(*parts) if all(parts) else set())
+    return max(filter(None, options), key=lambda o: (min(len(x) for x, _, _ in o), -len(o)), default=set())
+
+
+def alternatives() -> list[list[tuple]]:
+    """The parsed alternatives of TRUSTED."""
+    ((op, value),) = sre.parse(TRUSTED.pattern, TRUSTED.flags)
+    assert op is sre.BRANCH
+    return value[1]
+
+
+def _derived() -> list[tuple[str, bool, bool]]:
+    every = set().union(*map(_needed, alternatives()))
+    return sorted(h for h in every if not any(x in h[0] and (x, a, b) != h for x, a, b in every if not a and not b))
+
+
+#: (lower-case piece, whether it starts a word, whether it ends one), taken from TRUSTED: each trusted passage has one, or it repeats one word.
+HINTS = _derived()
 
 _TOKEN = re.compile(
     r"""\n | [.!?]+(?=\s|$) | `[^`\n]+` | "[^"\n]*" | «[^»\n]*» | „[^“\n]*“ | “[^”\n]*”
@@ -92,8 +153,9 @@ _TOKEN = re.compile(
     re.X,
 )
 _SPACES = re.compile("[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
-#: Tokens of code; a passage with one can't stand as text.
-_CODE = ("=", ";", "echo", "return", "const", "def", "import", "export")
+#: A passage without any of these characters and words stands as text; the others are asked one by one.
+_SUSPECT = re.compile(r"[`\"“«„;{=(]+")
+_CODE = ("def", "const", "let", "var", "function", "return", "if", "for", "export", "import", "echo")
 _END, _QUOTED, _NUMBER = 0, 1, 2
 _TOKENS = "doc_id BIGINT, tokens BINARY, trusted BINARY, standing BINARY"
 
@@ -138,25 +200,38 @@ class _Hints:
 
     def __init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
-        for hint in HINTS:
-            self.automaton.add_word(hint, len(hint))
+        loose: dict[str, tuple[bool, bool]] = {}
+        for hint, starts, ends in HINTS:
+            a, b = loose.get(hint, (True, True))
+            loose[hint] = a and starts, b and ends
+        for hint, (starts, ends) in loose.items():
+            self.automaton.add_word(hint, (len(hint), starts, ends))
         self.automaton.make_automaton()
 
     def places(self, low: str) -> list[int]:
         found = []
-        for end, size in self.automaton.iter(low):
+        for end, (size, starts, ends) in self.automaton.iter(low):
             start = end - size + 1
-            # A bracket behind a word or before no letter is code.
-            if low[start] == "[" and (low[start - 1 : start].isalnum() or not low[end + 1 : end + 2].isalpha()):
+            before, after = low[start - 1 : start], low[end + 1 : end + 2]
+            if starts and (before.isalnum() or before == "_") or ends and (after.isalnum() or after == "_"):
+                continue
+            # A bracket behind a word or before no word is code.
+            if low[start] == "[" and size == 1 and (before.isalnum() or not (after.isalnum() or after in ("_", "."))):
                 continue
             found.append(start)
         return found
 
 
 def _repeats(numbers: np.ndarray) -> bool:
-    """Whether a word stands five times in a row."""
-    same = (numbers[1:] == numbers[:-1]) & (numbers[1:] > _NUMBER)
-    return bool(len(same) > 3 and (same[3:] & same[2:-1] & same[1:-2] & same[:-3]).any())
+    """Whether a word stands five times in a row; a word of letters, digits and _ has up to five tokens."""
+    for size in range(1, 6):
+        same = (numbers[size:] == numbers[:-size]) & (numbers[size:] != _END)
+        if np.count_nonzero(same) < 4 * size:
+            continue
+        breaks = np.flatnonzero(~np.concatenate([[False], same, [False]]))
+        if np.diff(breaks).max() > 4 * size:
+            return True
+    return False
 
 
 def _bounds(raw: str, words: list[str], ends: set[int]) -> list[int]:
@@ -169,33 +244,38 @@ def _bounds(raw: str, words: list[str], ends: set[int]) -> list[int]:
     return [*out, len(raw)]
 
 
+def _marks(raw: str, words: list[str], numbers: np.ndarray, hints: _Hints) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage of a text: whether it is trusted, and whether it stands as text."""
+    ends = np.flatnonzero(numbers == _END)
+    trusted, stands = np.zeros(len(ends) + 1, np.uint8), np.ones(len(ends) + 1, np.uint8)
+    places = hints.places(raw.lower() if raw.isascii() else _same_length_lower(raw))
+    repeats = _repeats(numbers)
+    suspects = [m.start() for m in _SUSPECT.finditer(raw)]
+    # Of these words only a passage's first tells code.
+    first = np.concatenate([[0], ends + 1]) if len(numbers) else ends
+    code = {i for i, at in enumerate(first.tolist()) if at < len(words) and words[at] in _CODE}
+    if places or repeats or suspects or code:
+        bounds = _bounds(raw, words, set(ends.tolist()))
+        passage = lambda i: raw[bounds[i - 1] if i else 0 : bounds[i]].strip()
+        for i in range(len(bounds)) if repeats else {bisect.bisect_right(bounds, p) for p in places}:
+            trusted[i] = TRUSTED.fullmatch(passage(i).lstrip("#>*- \t")) is not None
+        for i in code | {bisect.bisect_right(bounds, p) for p in suspects}:
+            stands[i] = _standing(passage(i))
+    return trusted, stands
+
+
 def tokenize(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tokens (buckets as 4-byte numbers), trusted and standing (one byte for each passage)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, hints = TokenIds(), _Hints()
-        is_code = np.zeros(BUCKETS, bool)
-        is_code[[ids[x] for x in _CODE]] = True
         for batch in batches:
             tokens, trusted, standing = [], [], []
             for raw in batch["text"]:
                 raw = raw if raw.isascii() else _SPACES.sub(" ", raw)
                 words = _TOKEN.findall(raw)
                 numbers = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                ends = np.flatnonzero(numbers == _END)
-                marks = np.zeros(len(ends) + 1, np.uint8)
-                stands = np.ones(len(ends) + 1, np.uint8)
-                stands[np.searchsorted(ends, np.flatnonzero(is_code[numbers]))] = 0
-                places = hints.places(raw.lower() if raw.isascii() else _same_length_lower(raw))
-                repeats = _repeats(numbers)
-                if places or repeats:
-                    bounds = _bounds(raw, words, set(ends.tolist()))
-                    asked = range(len(bounds)) if repeats else sorted({bisect.bisect_right(bounds, p) for p in places})
-                    for i in asked:
-                        passage = raw[bounds[i - 1] if i else 0 : bounds[i]].strip()
-                        if passage:
-                            marks[i] = TRUSTED.fullmatch(passage.lstrip("#>*- \t")) is not None
-                            stands[i] = _standing(passage)
+                marks, stands = _marks(raw, words, numbers, hints)
                 tokens.append(numbers.tobytes())
                 trusted.append(marks.tobytes())
                 standing.append(stands.tobytes())
@@ -207,6 +287,9 @@ def tokenize(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def _same_length_lower(text: str) -> str:
     """Lower case that keeps every place (a few letters get longer in lower case; these stay)."""
+    # Letters that match s and i where case is ignored, as lower() doesn't know.
+    for letter, plain in (("ſ", "s"), ("İ", "i"), ("ı", "i")):
+        text = text.replace(letter, plain)
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 

@@ -353,3 +353,37 @@ def test_residue(spark):
     assert [g for g in got if g < 3000] == wanted
     assert 3000 in got  # learnt: no trusted form has this placeholder
     assert residue.residue(df.limit(0)).count() == 0 and residue.residue(df.where("doc_id < 300")).count() == 0
+
+
+TRUSTED_EXAMPLES = [
+    "Please allow this script.", "If nothing happens, allow scripts.", "Zugriff verweigert.", "Fehler 503: Dienst nicht da.", "500 Internal Server Error", '{"code":500,"message":"Internal server error"}',
+    "<error>gone</error>", "<html><title>404 gone", "Application error: it broke.", "Error establishing a database connection", "This repository could not be found", "The requested page could not be served",
+    "Your session has expired.", "We can’t find the page you want.", "Traceback (most recent call last):", "Le serveur a rencontré une erreur.", "El servicio no está disponible.", "Der Dienst ist zurzeit nicht erreichbar.",
+    "One moment, we look.", "Checking if the site is safe.", "Too many requests.", "Please slow down a bit.", "Confirm that you are a human.", "File not found!", "Sign in again to continue.", "An internal error occurred.",
+    "Lorem ipsum dolor", "dolor sit amet magna nulla.", "quis porta velit augue auctor.", "bla bla bla bla bla", "x_1 x_1 x_1 x_1 x_1", "12 12 12 12 12", "test test", "abc def ghi", "Your description here.", "This is sample copy.",
+    "Real content will follow.", "Beispieltext hier.", "Platzhaltertext.", "Texte à remplacer.", "Texto de ejemplo.", "This is your first post.", "Edit or delete it, then start writing!", "TODO describe it.", "[Titel]",
+    "<Name einfügen>", "Due: dd/mm/yyyy", "Dear Firstname", "Posted undefined by null today", "Hello {{ name }}, hi", "by %%owner%%", "<%= title %>", "<INSERT name HERE>", "${name}", "[a_b.c]", "Version [1.2] is out", "Plea\u017fe allow this \u017fcript.",
+]
+
+
+def test_each_trusted_passage_is_tried():
+    ids, hints = residue.TokenIds(), residue._Hints()
+    for text in TRUSTED_EXAMPLES:
+        assert residue.TRUSTED.fullmatch(text), text
+        for raw in (text, f"We wait here.\n{text}\nIt is closed."):
+            words = residue._TOKEN.findall(raw)
+            marks, _ = residue._marks(raw, words, np.array([ids[w] for w in words], np.int32), hints)
+            assert marks.sum() == 1, raw
+    # All alternatives have hints but the one for a repeated word.
+    assert [bool(residue._needed(a)) for a in residue.alternatives()].count(False) == 1
+
+
+def test_every_passage_is_asked_whether_it_stands():
+    ids, hints = residue.TokenIds(), residue._Hints()
+    raw = "They return the lease.\nThe page says “wait for the lease” now.\nlease(window)\nWe wait."
+    words = residue._TOKEN.findall(raw)
+    _, stands = residue._marks(raw, words, np.array([ids[w] for w in words], np.int32), hints)
+    ends = [i for i, w in enumerate(words) if ids[w] == residue._END]
+    bounds = residue._bounds(raw, words, set(ends))
+    passages = [raw[a:b] for a, b in zip([0, *bounds], bounds)]
+    assert stands.tolist() == [residue._standing(p) for p in passages] and 0 < stands.sum() < len(passages)
