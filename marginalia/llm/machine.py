@@ -40,6 +40,11 @@ LEAST_REUSE = 0.60
 LEAST_LITERAL = 0.60
 MOST_FRAME = 0.42
 FEW_WORDS = 12
+#: Where most of these characters are strings, and at least BLOB of them, their own grammar decides: they are data if it has
+#: at least DENSE symbols a character, or takes DENSE_BITS times the bits of the plain characters; prose has less of both.
+BLOB = 400
+DENSE = 0.93
+DENSE_BITS = 1.1
 #: Share of a file's tokens under shared rules of at least SHARED_RULE tokens from which it counts as a copy.
 LEAST_SHARED = 0.50
 SHARED_RULE = 16
@@ -72,11 +77,12 @@ _LEADING = re.compile(
     r"""(?x) \A (?: \s+ | \#[^\n]*(?:\n|\Z) | //[^\n]*(?:\n|\Z) | /\*.*?\*/ | [rRuU]?\"\"\".*?\"\"\" | [rRuU]?'''.*?''' | ["']use\ strict["'];? )*""", re.S
 )
 _PIECE = r"""
+    \"{3}(?:\\.|[^\\])*?\"{3} | '{3}(?:\\.|[^\\])*?'{3} |
     "(?:\\.|[^"\\\n])*" | '(?:\\.|[^'\\\n])*' | `(?:\\.|[^`\\])*` | [^\W\d]\w* | \d[\w.]* | \n | [^\w\s]
 """
-_PLAIN = re.compile(_PIECE, re.X)
+_PLAIN = re.compile(_PIECE, re.X | re.S)
 #: A here-document is one literal.
-_WITH_HERE = re.compile(r"""<<-?[ ]*['"]?(?P<tag>\w+)['"]?[^\n]*\n(?:.*\n)*?[ \t]*(?P=tag)(?=\s|\Z) |""" + _PIECE, re.X)
+_WITH_HERE = re.compile(r"""<<-?[ ]*['"]?(?P<tag>\w+)['"]?[^\n]*\n(?:[^\n]*\n)*?[ \t]*(?P=tag)(?=\s|\Z) |""" + _PIECE, re.X | re.S)
 # Words that keep their own shape.
 _KEYWORDS = frozenset(
     "def class return if else elif for while function const let var export import from async await static new echo local set then fi do done case esac in of try except catch throw raise with pass lambda module exports prototype this self".split()
@@ -117,6 +123,17 @@ def tokens_of(text: str) -> list[str]:
     return _PLAIN.findall(text)
 
 
+def dense(texts: list[str]) -> np.ndarray:
+    """Whether the Re-Pair grammar of each text's characters is hardly shorter than the text."""
+    length = np.array([len(t) for t in texts], np.int64)
+    symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 0xFFFFF
+    owner = np.repeat(np.arange(len(texts)), length)
+    g = grammars(symbols, owner, len(texts))
+    letters = np.array([max(2, len(set(t))) for t in texts])
+    enough = np.maximum(length, 1)
+    return (g.size >= DENSE * enough) | (g.size * np.log2(letters + g.rules) >= DENSE_BITS * enough * np.log2(letters))
+
+
 def has_header(text: str) -> bool:
     """Whether the comments before the first code say that a tool wrote the file."""
     head = _LEADING.match(text)[0]
@@ -150,6 +167,15 @@ def _judge(batch: pd.DataFrame, shapes: _Shapes, hashes: WordHashes, rules: list
         # Data is literals in a regular frame, or a literal with next to no words of code around it.
         words = np.bincount(owner, weights=~literal & (shape != shapes["\n"]) & np.fromiter(map(_is_word, flat), bool, len(flat)), minlength=n)
         out["data"] = (out["literal"] >= LEAST_LITERAL) & (out["grammar"] <= MOST_FRAME) | (out["literal"] >= 0.9) & (words <= FEW_WORDS) & (chars > 400)
+        string = (shape == _LITERAL_S) & (out["literal"].to_numpy() >= LEAST_LITERAL)[owner]
+        strings = [""] * n
+        for i in np.unique(owner[string]).tolist():
+            strings[i] = "".join(flat[j].strip("\"'`") for j in np.flatnonzero(string & (owner == i)))
+        in_strings = np.array([len(t) for t in strings])
+        asked = np.flatnonzero((in_strings >= BLOB) & (2 * in_strings > out["literal"] * chars))
+        if len(asked):
+            # Prose in a regular frame is a catalogue that somebody wrote; what can't be compressed is data in any frame.
+            out.loc[asked, "data"] = dense([strings[i] for i in asked])
         out["minified"] = np.array([bool(BUNDLED.search(p)) for p in paths], bool) | (repeats & (lines >= LONG_LINES))
         header = np.array([bool(WRITTEN.search(p)) or has_header(t) for p, t in zip(paths, texts, strict=True)], bool)
         out["generated"] = header | (repeats & (lines < LONG_LINES) & ~out["data"])

@@ -61,6 +61,18 @@ def test_machine_paths(spark):
     assert machine.hand_written(files, reference).where("path = 't/a.py'").count() == 1
 
 
+def test_literals_are_judged_by_their_own_grammar(spark):
+    rng = np.random.default_rng(4)
+    blob = "\n".join(rng.bytes(30).hex() for _ in range(30))
+    words = "lease registry scanner window packet graph cursor budget module signal waits closes opens until while after before the a of in".split()
+    catalogue = "MESSAGES = {\n" + "".join(f'    "m{i}": "The {" ".join(rng.choice(words, 9))}.",\n' for i in range(60)) + "}\n"
+    rows = [("t/blob.py", f'import zlib\n\nDATA = """\n{blob}\n"""\n\n' + HAND), ("t/old.py", f"D = '''\n{blob}\n'''\n"), ("t/messages.py", catalogue)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    assert {r.path for r in machine.judge(files).where("data").collect()} == {"t/blob.py", "t/old.py"}
+    assert machine.tokens_of('x = """a "b"\nc"""') == ["x", "=", '"""a "b"\nc"""']
+    assert machine.tokens_of("cat <<A\nx\nA\n'''d\n'''\n")[-2:] == ["'''d\n'''", "\n"]
+
+
 # p2
 
 SECRET = [
