@@ -52,6 +52,7 @@ RULES: list[tuple[str, re.Pattern, bool]] = [
     ),
     ("use-as", re.compile(rf"(?i)\b(?:use|try|enter|type|with)\s+[\"'`]?(?P<v>[^\s\"'`,;]+)[\"'`]?\s+as\s+(?:the\s+)?{_SENTENCE}"), True),
     ("high-entropy", re.compile(r"(?<![\w+.=-])(?P<v>(?=[A-Za-z0-9+/_-]*\d)(?=[^A-Z]*[A-Z])[A-Za-z0-9+][A-Za-z0-9+/_-]{19,}={0,2})(?![\w/+=-])"), False),
+    ("quoted", re.compile(r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))\S){12,})(?P=q)"), False),
     ("phrase", re.compile(rf"(?i)\b(?:phrase|unlock|{_SENTENCE})\b[^\n.;]{{0,60}}?\s?{_IS}\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n])+)(?P=q)"), True),
     ("login-pair", re.compile(r"(?i)\b(?:login|credentials?|account)\b[^\n]{0,60}?\s[\w.@-]+\s*/\s*[\"'`]?(?P<v>[^\s\"'`,;]+)"), True),
 ]
@@ -78,6 +79,11 @@ _IDENTIFIER = re.compile(
 _REFERENCE = re.compile(
     r"\$|%[({]?\w+[)}]?%|\{\{|\{\w*\}|<[^>]*>|\b(?:os\.environ|process\.env|getenv|env|environ|vault|secrets?|config|settings|ssm|keyring|credentials?)\s*[.(\[]|^[\w.]+\(|^self\."
 )
+#: Date formats and regular expressions; and the pieces of paths, URLs and dotted names.
+_FORMAT = re.compile(r"%[A-Za-z].*%[A-Za-z]|\\[wdsbnt]|\[\^?\w-\w|\(\?")
+_PART = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)?\d*")
+#: A $ inside a random string: no variable's name follows.
+_NO_VARIABLE = re.compile(r"(?<=.)\$(?![{(]|(?:[a-z_]+|[A-Z_]+|[a-z]+(?:[A-Z][a-z]+)+)\b)")
 # Stand-ins for a credential.
 _PLACEHOLDER = re.compile(
     r"(?i)[x*.#_?-]+|\W*|(?=[a-z_ <>\[\]./*-]+\d{0,3}$)(?:.*(?:your|insert|enter|change|replace)[-_ ]?\w*.*"
@@ -92,8 +98,8 @@ _ANNOUNCED = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "clave",
 _HINTS = {
     "issued-token": ("gh", "glpat-", "npm_", "pypi-", "xox", "sk_", "sk-", "rk_live", "pk_priv", "hf_", "dop_v1", "sg.", "aiza", "ya29.", "shpat_", "lin_api", "dckr_pat"),
     "access-key-id": ("akia", "asia"), "signed-token": ("eyj",), "url-userinfo": ("://",), "url-parameter": ("?", "&", ";"),
-    "url-webhook": ("://hook", "://webhook"), "command-user": (" -u", "--user"), "header": ("basic", "bearer"),
-    "high-entropy": tuple("0123456789"),
+    "url-webhook": ("://hook", "://webhook"), "command-user": ("-u", "--user"), "header": ("basic", "bearer"),
+    "high-entropy": tuple("0123456789"), "quoted": ("\"", "'", "`"),
 }
 _TRAIL = ".,;:!?)]}'\"`"
 
@@ -121,7 +127,7 @@ def credible(value: str, named: bool) -> bool:
         # A phrase: several words, not a sentence that ends like one.
         words = value.split()
         return len(words) >= 4 and len(set(words)) >= 4 and not _REFERENCE.search(value) and value[-1] not in ".:!?"
-    if len(value) < (6 if named else 16) or _PLACEHOLDER.fullmatch(value) or _REFERENCE.search(value):
+    if len(value) < (6 if named else 16) or _PLACEHOLDER.fullmatch(value) or _REFERENCE.search(value if named else _NO_VARIABLE.sub("", value)):
         return False
     if _IDENTIFIER.fullmatch(value) or _UUID.fullmatch(value):
         return False
@@ -150,7 +156,7 @@ def credentials(text: str | None) -> list[tuple[int, int, str]]:
             closed.append(m.span())
             if "PRIVATE" in m["what"]:
                 found.append((*m.span("v"), "private-key"))
-    if "wrapped" in low or "key" in low or "token" in low:
+    if "key" in low or "token" in low or "secret" in low:
         for m in _WRAPPED.finditer(text):
             parts = list(_WRAPPED_PART.finditer(text, text.index(":", m.start()), m.end()))
             if parts and credible("".join(p[0] for p in parts), True):
@@ -161,13 +167,15 @@ def credentials(text: str | None) -> list[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(text):
             a, b = _trim(text, *m.span("v"))
+            if name == "quoted" and (_FORMAT.search(text[a:b]) or all(_PART.fullmatch(x) for x in re.split(r"[\W_]+", text[a:b]))):
+                continue
             if credible(text[a:b], named) or name in _BY_FORM and entropy(text[a:b]) >= threshold(text[a:b], True):
                 found.append((a, b, name))
     if not found:
         return []
     public = [m.span() for m in _PUBLIC.finditer(text)] + closed
     kept: list[tuple[int, int, str]] = []
-    for a, b, name in sorted(found, key=lambda x: (x[2] == "high-entropy", x[0], -x[1])):
+    for a, b, name in sorted(found, key=lambda x: (x[2] in ("high-entropy", "quoted"), x[0], -x[1])):
         if name not in _ANYWHERE and any(x < b and a < y for x, y in public):
             continue
         if all(b <= x or y <= a for x, y, _ in kept):

@@ -95,6 +95,13 @@ def test_credentials(spark):
     assert credentials.found_ids(df.limit(0)).count() == 0
 
 
+def test_credentials_without_a_name():
+    for text in ('connect("admin", "xK9$mQ2!vL7#pR4w")', "# API secret:\n# 058700dafeafb978bf68e8395949ddd2", "curl\t-u admin:diOwPnmp-pUq!Ld https://x.invalid", "-u is set by\n\t-u admin:diOwPnmp-pUq!Ld"):
+        assert credentials.credentials(text), text
+    for text in ('open("src/main/Resources/a.b1.json")', "f('%Y-%m-%dT%H:%M:%S')", 'import x from "../lib/Some-module.v2"', 'see "https://x.invalid/Docs/Page1"', 'r"[A-Za-z0-9_]+(?:x|y)"', "don't use 2Words or can't"):
+        assert not credentials.credentials(text), text
+
+
 def test_redaction_keeps_the_rest():
     text = 'db = connect("h", password="kR7#pQ2!xZ")  # user=admin\n'
     assert credentials.redact(text, credentials.credentials(text)) == 'db = connect("h", password="*****")  # user=admin\n'
