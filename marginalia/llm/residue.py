@@ -1,24 +1,26 @@
 """Template residue, filler and error-page text, found by a positive-unlabelled naive Bayes model.
 
-A document is a row of passages (sentences and lines). Passages that are nothing but a known notice, an error line or
-an unfilled placeholder are trusted positives; all other passages are unlabelled. Naive Bayes over words, pairs of
-neighbouring words and placeholder shapes is fitted by expectation-maximization: posteriors of all passages, then
-weighted counts over all passages, both on the executors; only tables of BUCKETS numbers travel. Text in back ticks
-or long quotes is one neutral token, so that documents which quote or explain a notice give no evidence. A document
-counts if one of its passages does; an exact check then asks that the passage stands as text itself.
+A document is a row of passages (sentences and lines). Records that are, passage for passage, mostly a known notice, an
+error line or an unfilled placeholder are trusted: their known passages are the positives, all other passages are
+unlabelled. Naive Bayes over words, pairs of neighbouring words, shapes of placeholders, and a passage's place (its length,
+its share of the record, the passages beside it, whether it goes on from the line before, capitals, quotes) is fitted by
+expectation-maximization: posteriors of all passages, then weighted counts over all passages, both on the executors; only
+tables of SIZE numbers travel. Text in back ticks or long quotes is one neutral token, so that documents which quote or
+explain a notice give no evidence. No passage is positive by its pattern at the end: the model scores all of them alike,
+and a record counts if a passage that stands as text itself reaches THRESHOLD.
 
 Texts are read once: their tokens are kept as numbers in the checkpoint folder, the rounds read those.
 
 Defined results: null and empty texts have no passages; rows without id give none; repeated ids come out once;
-without any trusted passage nothing is found; texts are read whole; other columns are ignored.
+without any trusted record nothing is found; texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import http
 import re
-from collections.abc import Iterable, Iterator
-from re import _parser as sre
+from collections.abc import Iterator, Mapping
 
 import ahocorasick
 import numpy as np
@@ -31,120 +33,65 @@ from marginalia.llm.words import MEMORY
 from marginalia.plans.lineage import cut
 
 BUCKETS = 1 << 17
-ROUNDS = 3
+#: Numbers of a passage's place follow those of words and pairs.
+PLACES = 64
+SIZE = BUCKETS + PLACES
+ROUNDS = 4
 #: Share of a passage's posterior that counts for unlabelled passages, against 1 for trusted ones.
 UNLABELLED_WEIGHT = 0.5
-#: Weight, in tokens, of the corpus' own distribution in the positive class: what a positive never shows counts against.
-SMOOTHING = 100.0
-THRESHOLD = 0.8
-PRIOR = 0.01
-
-# Passages that are certain residue if they stand alone.
-TRUSTED = re.compile(
-    r"""(?ix)
-    # notices that scripts are required
-    (?:(?:you|please|sorry|bitte|veuillez|active|activez|this|the|your|esta|este|cette|cet|ce|diese[rs]?|aktivieren|habilite)\b[^.!?\n`"]{0,80}\b(?:javascript|scripts?|skripten?)\b[^.!?\n`"]{0,60}[.!]?)
-    | (?:if\ nothing\ happens,[^.\n`"]{0,60}scripts?[^.\n]{0,20}\.?)
+#: Weight, in tokens, of what is taken to be known beforehand: of the positive class that each word seen is as likely as
+#: any other, so that only words which the corpus uses much count against it.
+SMOOTHING = 300.0
+THRESHOLD = 0.5
+PRIOR = 0.001
+#: Share of a record's passages that must be known forms for it to be trusted.
+TRUSTED_SHARE = 0.5
+
+# The words of the standard filler paragraph that no other language here has, and what HTTP calls its errors.
+FILLER = frozenset(
+    """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim
+    veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum
+    fugiat nulla pariatur excepteur sint occaecat cupidatat proident officia deserunt mollit anim laborum""".split()
+)
+_REASON = "|".join(re.escape(s.phrase.lower()) for s in http.HTTPStatus if s >= 400)
+_ERROR = r"(?:error|erreur|fehler|fout|errore|erro)"
+_THING = r"(?:page|file|site|service|server|repository|resource|seite|dienst|página|servicio|serveur)"
+_FIELD = r"(?:\{\{\s*[\w.]+\s*\}\}|\$\{[\w.]+\}|%%[\w.]+%%|<%=?\s*[\w.]+\s*%>|<insert\ [\w.]+\ here>|\[[a-z]+[_.][a-z_.]+\])"
+# Forms of a passage that nobody writes as content: name, pieces of which a passage has one (in lower case), pattern.
+SEEDS: dict[str, tuple[tuple[str, ...], str]] = {
     # errors and refusals
-    | (?:(?:access\ denied|forbidden|request\ blocked|zugriff\ verweigert|acceso\ denegado|accès\ refusé)[.!]?)
-    | (?:(?:error|erreur|fehler)\s+[45]\d\d\s?[:.-][^.\n`"]{5,90}\.?)
-    | (?:[45]\d\d\s+[-–:]?\s*(?:not\ found|forbidden|bad\ gateway|internal\ server\ error|service\ unavailable|unauthorized|gateway\ time-?out|too\ many\ requests)[.!]?)
-    | (?:\{\s*"(?:status|code|error)"\s*:[^\n]{0,200}"(?:error|message|status)"\s*:[^\n]{0,200}\})
-    | (?:<error>.{0,200}</error>) | (?:<html>.{0,60}<title>[45]\d\d\b.{0,200})
-    | (?:application\ error:[^.\n`"]{0,100}\.?) | (?:error\ establishing\ a\ database\ connection\.?)
-    | (?:(?:the\ requested\ page|this\ (?:page|repository|site|service))\b[^.\n`"]{0,60}(?:could\ not\ be|is\ temporarily|is\ not|was\ not)\b[^.\n`"]{0,40}(?:served|unavailable|available|found)\b[^\n`"]{0,20})
-    | (?:your\ (?:session\ has\ expired|request\ was\ blocked|ip\ (?:address\ )?(?:has\ been|was)\ blocked)\.?)
-    | (?:we\ can['’]t\ find\ the\ page[^.\n]{0,40}\.?) | (?:traceback\ \(most\ recent\ call\ last\):)
-    | (?:le\ serveur\ a\ rencontré[^.\n]{0,40}\.?) | (?:el\ servicio\ no\ está\ disponible[^.\n]{0,40}\.?) | (?:der\ dienst\ ist[^.\n]{0,30}nicht\ (?:verfügbar|erreichbar)[^.\n]{0,30}\.?)
-    | (?:one\ moment,[^.\n`"]{0,80}\.?) | (?:checking\ (?:your\ browser|if\ the\ site)[^.\n`"]{0,60}\.?) | (?:too\ many\ requests\.?) | (?:please\ slow\ down[^.\n`"]{0,40}\.?)
-    | (?:(?:please\ )?(?:verify|confirm)\ (?:that\ )?you\ are\ (?:a\ )?human[^.\n`"]{0,40}\.?) | (?:(?:page|file)\ not\ found[.!]?) | (?:sign\ in\ again\ to\ continue\.?) | (?:(?:an\ )?(?:unexpected\ |internal\ )?error\ occurred[.!]?)
+    "status line": (("40", "41", "42", "45", "50", "51"), rf"(?:http/?[\d.]*\s*)?(?:{_ERROR}\s+)?[45]\d\d\s*[-–:]?\s*(?:{_REASON})[.!]?"),
+    "numbered error": (("err", "fehler", "fout"), rf"{_ERROR}\s+[45]\d\d\s?[:.-].+"),
+    "error object": (("error", "message", "status"), r"\{\s*\"(?:status|code|error|message)\"\s*:.*\"(?:error|message|status)\"\s*:.*\}"),
+    "error markup": (("<error", "<html"), r"<error>.*</error>|<html>.*<title>[45]\d\d\b.*"),
+    "refusal": (("denied", "forbidden", "unauthor", "blocked", "verweigert", "denegado", "refus"), r"(?:access\ denied|permission\ denied|forbidden|unauthorized|(?:your\ )?request\ (?:was\ )?blocked|zugriff\ verweigert|acceso\ denegado|accès\ refusé)[.!]?"),
+    "application error": (("err", "fehler", "fout"), rf"(?:an?\ |the\ )?(?:unexpected\ |internal\ |application\ |unhandled\ )*{_ERROR}(?:\ occurred|\s?:.*exception.*|\ establishing\ an?\ .*connection)[.!]?"),
+    "not served": (("found", "available", "served", "reached", "disponible", "verfügbar", "erreichbar"), rf"(?=.*\b{_THING}\b)(?=.*\b(?:not|n'?t|no|nicht|temporarily|pas|could)\b)(?:the|this|that|la|le|el|der|die|diese)\b.*\b(?:found|available|unavailable|served|reached|disponible|verfügbar|erreichbar)\b[^\"`]*"),
+    "server trouble": (("le serveur a", "went wrong", "oops"), r"le\ serveur\ a\ rencontré.*|something\ went\ wrong[.!]?|oops\b.*"),
+    "cannot find": (("find",), r"(?:sorry,?\ )?we\ (?:can(?:no|['’])t|could\ ?n['o’]t)\ find\ (?:the\ |that\ |this\ )?page\b.*"),
+    "session": (("expired", "to continue"), r"your\ session\ (?:has\ )?expired[.!]?|(?:please\ )?(?:sign|log)\ in\ (?:again\ )?to\ continue[.!]?"),
+    "overload": (("many requests", "slow down", "try again"), r"too\ many\ requests[.!]?|please\ (?:slow\ down|try\ again\ later)\b.*"),
+    "human check": (("moment,", "checking", "human"), r"(?:one\ moment,?\ )?checking\ (?:your\ browser|if\ the\ site)\b.*|one\ moment,.*|(?:please\ )?(?:verify|confirm)\ (?:that\ )?you\ are\ (?:a\ )?human\b.*"),
+    "traceback": (("traceback", "line ", "error:", "exception:"), r"traceback\ \(most\ recent\ call\ last\):|file\ \"[^\"]+\",\ line\ \d+.*|\w+(?:error|exception):.*"),
+    # notices that scripts are required
+    "scripts needed": (("script",), r"(?=.*\b(?:you|please|sorry|this|the|your|allow|enable|needs?|requires?)\b)(?=.*\b(?:javascript|scripts?)\b)[^`\"]*"),
+    "scripts needed elsewhere": (("script", "skript"), r"(?=.*\b(?:bitte|veuillez|activ\w+|est[ea]|cet(?:te)?|ce|diese[rs]?|aktiv\w+|habilit\w+|requiere|nécessite)\b)(?=.*\b(?:javascript|scripts?|skripten?)\b)[^`\"]*"),
     # filler
-    | (?:lorem\ ipsum\b[^\n]{0,400}) | (?:(?:\b(?:lorem|ipsum|dolor|amet|vitae|tellus|mollis|viverra|ornare|rutrum|nibh|felis|turpis|sapien|quis|sit|donec|massa|magna|lacus|velit|augue|auctor|porta|nulla|tempus)\b[\s,.]+){5,})
-    | (?:(\w{2,5})(?:\s+\1){4,}\.?) | (?:test\ test[\w\s]{0,30}) | (?:abc\ def\ ghi[\w\s]{0,40})
-    | (?:your\ (?:text|content|description)\ (?:goes\ )?here\.?) | (?:this\ is\ (?:placeholder|dummy|sample)\ (?:copy|text|content)\.?) | (?:real\ content\ will\ follow\.?)
-    | (?:beispieltext[^.\n]{0,40}\.?) | (?:platzhaltertext[^.\n]{0,40}\.?) | (?:texte\ (?:provisoire|à\ remplacer)[^.\n]{0,50}\.?) | (?:texto\ de\ (?:relleno|ejemplo)[^.\n]{0,50}\.?)
-    | (?:this\ is\ your\ first\ (?:page|post)\.?) | (?:edit\ or\ delete\ it,\ then\ start\ writing[.!]?)
+    "one word": ((), r"(\w{2,})(?:\s+\1){4,}[.!]?"),
+    "keys tried": (("test", "abc def"), r"(?:test(?:ing)?\b[\s\d,.]*){2,}|abc\ def(?:\ \w{3})*"),
+    "copy to come": (("text", "copy", "content"), r"(?:this\ is\ )?(?:placeholder|dummy|sample|filler)\ (?:copy|text|content)[.!]?|(?:the\ )?real\ content\ (?:will\ follow|goes\ here)[.!]?"),
+    "text here": (("here",), r"(?:your|add|insert|put|enter)\ (?:\w+\ )*(?:text|content|title|name|description)\ (?:goes\ )?here[.!]?"),
+    "copy to come elsewhere": (("text",), r"(?:beispiel|platzhalter|blind)text\b.*|texte\ (?:provisoire|à\ remplacer|de\ remplissage)\b.*|texto\ (?:de\ (?:relleno|ejemplo)|provisional)\b.*"),
+    "first page": (("this is your first", "edit or delete"), r"this\ is\ your\ first\ (?:page|post)[.!]?|edit\ or\ delete\ it,\ then\ start\ writing[.!]?"),
     # placeholders
-    | (?:todo:?\ (?:replace|describe|write|fill)\b[^.\n`"]{0,90}\.?)
-    | (?:\#*\s*\[(?:insert|your|add|enter|titel|name|título|titre|nom|nombre|beschreibung|description)\b[^\]\n]{0,50}\](?:[\w\s]{0,12}\[[^\]\n]{2,40}\])*\.?)
-    | (?:<[^<>\n]{2,40}\ (?:à\ compléter|einfügen|eintragen|aquí|here)>)
-    | (?:due:\s*dd/mm/yyyy) | (?:dear\ firstname\b[^\n]{0,60}) | (?:[^\n`"]{0,30}\bundefined\ by\ null\b[^\n]{0,60})
-    | (?:[^\n`"=;]{0,60}(?:\{\{\s*[\w.]+\s*\}\}|%%[\w.]+%%|<%=?\s*[\w.]+\s*%>|<INSERT\ [\w.]+\ HERE>)[^\n`"=;]{0,60})
-    | (?:\#*\s*(?:\$\{[\w.]+\}|\[[a-z]+[_.][a-z_.]+\]|\[(?:version|description|title|author)\])\s*) | (?:(?:hello|welcome\ to|contact|version|licence|owner|reviewer)\b:?\ (?:\$\{[\w.]+\}|\[[\w.]+\])[^\n`"=;]{0,60})
-    """
-)
-#: At most so many strings stand for a part of a pattern; a longer part is cut before it gets more.
-_MOST_STRINGS = 64
-
-
-def _strings(item: tuple) -> set[str] | None:
-    """All strings that a part of a parsed pattern matches, in lower case, if these are few."""
-    op, value = item
-    if op is sre.LITERAL:
-        return {chr(value).lower()}
-    if op is sre.IN and all(x[0] is sre.LITERAL for x in value):
-        return {chr(x[1]).lower() for x in value}
-    if op is sre.SUBPATTERN:
-        return _all_strings(value[-1])
-    if op is sre.BRANCH:
-        parts = [_all_strings(x) for x in value[1]]
-        return None if None in parts else set().union(*parts)
-    if op is sre.MAX_REPEAT and value[:2] == (0, 1):
-        once = _all_strings(value[2])
-        return None if once is None else once | {""}
-    return None
-
-
-def _all_strings(items: Iterable[tuple]) -> set[str] | None:
-    out = {""}
-    for item in items:
-        more = _strings(item)
-        out = None if more is None else {x + y for x in out for y in more}
-        if out is None or len(out) > _MOST_STRINGS:
-            return None
-    return out
-
-
-def _needed(items: Iterable[tuple]) -> set[tuple[str, bool, bool]]:
-    """Pieces of which each match of a parsed pattern has one, and whether a word starts and ends with it; empty if none is known."""
-    options: list[set[tuple[str, bool, bool]]] = []
-    run, starts = {""}, False
-
-    def close(ends: bool) -> None:
-        if "" not in run:
-            options.append({(x, starts, ends) for x in run})
-
-    for item in [*items, (sre.AT, None)]:
-        op, value = item
-        more = _strings(item)
-        if more is not None and len(run) * len(more) <= _MOST_STRINGS:
-            run = {x + y for x in run for y in more}
-            continue
-        boundary = op is sre.AT and value is sre.AT_BOUNDARY
-        close(boundary)
-        run, starts = more or {""}, boundary
-        if op is sre.SUBPATTERN or op is sre.MAX_REPEAT and value[0] > 0:
-            options.append(_needed(value[-1]))
-        elif op is sre.BRANCH:
-            parts = [_needed(x) for x in value[1]]
-            options.append(set().union(*parts) if all(parts) else set())
-    return max(filter(None, options), key=lambda o: (min(len(x) for x, _, _ in o), -len(o)), default=set())
-
-
-def alternatives() -> list[list[tuple]]:
-    """The parsed alternatives of TRUSTED."""
-    ((op, value),) = sre.parse(TRUSTED.pattern, TRUSTED.flags)
-    assert op is sre.BRANCH
-    return value[1]
-
-
-def _derived() -> list[tuple[str, bool, bool]]:
-    every = set().union(*map(_needed, alternatives()))
-    return sorted(h for h in every if not any(x in h[0] and (x, a, b) != h for x, a, b in every if not a and not b))
-
-
-#: (lower-case piece, whether it starts a word, whether it ends one), taken from TRUSTED: each trusted passage has one, or it repeats one word.
-HINTS = _derived()
+    "to replace": (("todo",), r"todo:?\ (?:replace|describe|write|fill|add)\b[^`\"]*"),
+    "bracket": (("[",), r"\[(?:insert|your|add|enter|title|titel|titre|título|name|nom|nombre|beschreibung|description|version|author)\b[^\]]*\](?:[\w\s]*\[[^\]]+\])*[.!]?"),
+    "angle": (("<",), r"<[^<>]+\ (?:à\ compléter|à\ remplir|einfügen|eintragen|aquí|here)>"),
+    "date form": (("dd", "tt", "jj"), r"(?:\w+:\s*)?(?:dd|tt|jj)[/.](?:mm)[/.](?:yyyy|jjjj|aaaa)"),
+    "to nobody": (("name",), r"(?:dear|hello|hi|bonjour|hola|hallo)\ (?:first\ ?name|last\ ?name|customer\ ?name|user\ ?name)\b.*"),
+    "no value": (("undefined", "null", "nan"), r"(?=.*\b(?:undefined|null|nan)\b\W+(?:\w+\W+)?(?:undefined|null|nan)\b)[^`\"]*"),
+    "field": (("{", "%%", "<", "["), rf"(?=[^`\"=;]*{_FIELD})[^`\"=;]*"),
+}
 
 _TOKEN = re.compile(
     r"""\n | [.!?]+(?=\s|$) | `[^`\n]+` | "[^"\n]*" | «[^»\n]*» | „[^“\n]*“ | “[^”\n]*”
@@ -153,36 +100,46 @@ _TOKEN = re.compile(
     re.X,
 )
 _SPACES = re.compile("[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
+_ENDS = re.compile(r"\n|[.!?]+(?=\s|$)")
 #: A passage without any of these characters and words stands as text; the others are asked one by one.
 _SUSPECT = re.compile(r"[`\"“«„;{=(]+")
 _CODE = ("def", "const", "let", "var", "function", "return", "if", "for", "export", "import", "echo")
-_END, _QUOTED, _NUMBER = 0, 1, 2
-_TOKENS = "doc_id BIGINT, tokens BINARY, trusted BINARY, standing BINARY"
+_END, _STOP, _QUOTED, _NUMBER = 0, 1, 2, 3
+#: Numbers of placeholder shapes, and the first number of words.
+_SHAPES, _WORDS = 4, 1028
+#: Added to the number of a word in capitals.
+_CAPITALS = 1 << 24
+_TOKENS = "doc_id BIGINT, tokens BINARY, trusted BINARY, standing BINARY, places BINARY"
+# Numbers of a passage's place: by length, passages of the record, share of the record; then single traits.
+_BY_LENGTH, _BY_COUNT, _BY_SHARE, _HOLDS_FIELD, _HOLDS_QUOTE, _HOLDS_CAPITALS, _GOES_ON, _NO_TEXT, _NONE = 0, 8, 16, 24, 25, 26, 27, 28, 63
+_TRAITS = 8
 
 
 class TokenIds(dict):
-    """token -> bucket; the shape decides for quotes, numbers and placeholders."""
+    """token -> number; the shape decides for quotes, numbers and placeholders."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > MEMORY:
             self.clear()
         first = token[0]
-        if first == "\n" or first in ".!?":
+        if first == "\n":
             value = _END
+        elif first in ".!?":
+            value = _STOP
         elif first in "`«„“" or first == '"' and token.count(" ") >= 2:
             value = _QUOTED
         elif first.isdigit():
             value = _NUMBER if not (len(token) == 3 and first in "45") else self._bucket("4xx")
         elif len(token) > 2 and first in "${%<[":
-            value = self._bucket("shape" + re.sub(r"\w+", "w", token))
+            value = _SHAPES + xxhash.xxh64_intdigest(re.sub(r"\w+", "w", token).encode("utf-8", "surrogatepass")) % (_WORDS - _SHAPES)
         else:
-            value = self._bucket(token.lower())
+            value = self._bucket(token.lower()) + (_CAPITALS if len(token) > 3 and token.isupper() else 0)
         self[token] = value
         return value
 
     @staticmethod
     def _bucket(text: str) -> int:
-        return 3 + xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % (BUCKETS - 3)
+        return _WORDS + xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % (BUCKETS - _WORDS)
 
 
 def _standing(passage: str) -> bool:
@@ -195,141 +152,209 @@ def _standing(passage: str) -> bool:
     )
 
 
-class _Hints:
-    """Places of HINTS in a lower-case text, by one automaton for all of them."""
+def _bounds(raw: str, words: list[str], ends: np.ndarray) -> list[int]:
+    """Where the passages of a text end: at the places of its tokens number `ends`, and at its end."""
+    out = [m.end() for m in _ENDS.finditer(raw)]
+    if len(out) != len(ends):
+        # Some stand inside quotes or placeholders.
+        out, at, find, last = [], 0, raw.find, set(ends.tolist())
+        for i, word in enumerate(words):
+            at = find(word, at) + len(word)
+            if i in last:
+                out.append(at)
+    return [*out, len(raw)]
 
-    def __init__(self) -> None:
-        self.automaton = ahocorasick.Automaton()
-        loose: dict[str, tuple[bool, bool]] = {}
-        for hint, starts, ends in HINTS:
-            a, b = loose.get(hint, (True, True))
-            loose[hint] = a and starts, b and ends
-        for hint, (starts, ends) in loose.items():
-            self.automaton.add_word(hint, (len(hint), starts, ends))
-        self.automaton.make_automaton()
 
-    def places(self, low: str) -> list[int]:
-        found = []
-        for end, (size, starts, ends) in self.automaton.iter(low):
-            start = end - size + 1
-            before, after = low[start - 1 : start], low[end + 1 : end + 2]
-            if starts and (before.isalnum() or before == "_") or ends and (after.isalnum() or after == "_"):
-                continue
-            # A bracket behind a word or before no word is code.
-            if low[start] == "[" and size == 1 and (before.isalnum() or not (after.isalnum() or after in ("_", "."))):
-                continue
-            found.append(start)
-        return found
-
-
-def _repeats(numbers: np.ndarray) -> bool:
-    """Whether a word stands five times in a row; a word of letters, digits and _ has up to five tokens."""
-    for size in range(1, 6):
-        same = (numbers[size:] == numbers[:-size]) & (numbers[size:] != _END)
-        if np.count_nonzero(same) < 4 * size:
-            continue
-        breaks = np.flatnonzero(~np.concatenate([[False], same, [False]]))
-        if np.diff(breaks).max() > 4 * size:
-            return True
-    return False
-
-
-def _bounds(raw: str, words: list[str], ends: set[int]) -> list[int]:
-    """Where the passages of a text end: at the places of its tokens with the numbers `ends`, and at its end."""
-    out, at, find = [], 0, raw.find
-    for i, word in enumerate(words):
-        at = find(word, at) + len(word)
-        if i in ends:
-            out.append(at)
-    return [*out, len(raw)]
+class Known:
+    """The known forms, found by their pieces with one automaton."""
 
+    def __init__(self, seeds: Mapping[str, tuple[tuple[str, ...], str]] = SEEDS) -> None:
+        self.forms = [re.compile(form, re.I | re.S | re.X) for _, form in seeds.values()]
+        of: dict[str, set[int]] = {}
+        for i, (cues, _) in enumerate(seeds.values()):
+            for cue in cues:
+                of.setdefault(cue, set()).add(i)
+        for word in FILLER:
+            if len(word) >= 5:
+                of.setdefault(word, set()).add(-1)
+        self.everywhere = {i for i, (cues, _) in enumerate(seeds.values()) if not cues}
+        self.automaton = ahocorasick.Automaton()
+        for cue, forms in of.items():
+            self.automaton.add_word(cue, forms)
+        self.automaton.make_automaton()
 
-def _marks(raw: str, words: list[str], numbers: np.ndarray, hints: _Hints) -> tuple[np.ndarray, np.ndarray]:
+    def suspects(self, raw: str, bounds: list[int], repeats: set[int]) -> dict[int, set[int]]:
+        """The forms that each passage may have. repeats: passages in which a word repeats."""
+        low = raw.lower()
+        if len(low) != len(raw):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in raw)
+        out = {i: set(self.everywhere) for i in repeats}
+        for end, forms in self.automaton.iter(low):
+            i = bisect.bisect_right(bounds, end)
+            if i in out:
+                out[i] |= forms
+            else:
+                out[i] = set(forms)
+        return out
+
+    def is_known(self, passage: str, forms: set[int]) -> bool:
+        """Whether a passage has a form that nobody writes as content."""
+        text = passage.strip().lstrip("#>*- \t")
+        if -1 in forms:
+            words = re.findall(r"[^\W\d_]+", text.lower())
+            if len(words) >= 3 and 3 * sum(w in FILLER for w in words) > len(words):
+                return True
+        return any(self.forms[i].fullmatch(text) for i in forms if i >= 0)
+
+
+def _repeats(numbers: np.ndarray, ends: np.ndarray) -> set[int]:
+    """Passages in which a word stands five times in a row."""
+    same = (numbers[1:] == numbers[:-1]) & (numbers[1:] >= _WORDS)
+    if np.count_nonzero(same) < 4:
+        return set()
+    at = np.flatnonzero(same[3:] & same[2:-1] & same[1:-2] & same[:-3])
+    return set(np.searchsorted(ends, at).tolist())
+
+
+def _marks(raw: str, words: list[str], numbers: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
     """For each passage of a text: whether it is trusted, and whether it stands as text."""
-    ends = np.flatnonzero(numbers == _END)
+    ends = np.flatnonzero((numbers & (_CAPITALS - 1)) <= _STOP)
     trusted, stands = np.zeros(len(ends) + 1, np.uint8), np.ones(len(ends) + 1, np.uint8)
-    places = hints.places(raw.lower() if raw.isascii() else _same_length_lower(raw))
-    repeats = _repeats(numbers)
-    suspects = [m.start() for m in _SUSPECT.finditer(raw)]
+    first = np.concatenate([[0], ends + 1])
+    filled = np.diff(np.concatenate([first, [len(numbers) + 1]])) > 1
+    bounds = _bounds(raw, words, ends)
+    passage = lambda i: raw[bounds[i - 1] if i else 0 : bounds[i]]
+    suspects = {i: forms for i, forms in known.suspects(raw, bounds, _repeats(numbers, ends)).items() if filled[i]}
+    least = TRUSTED_SHARE * np.count_nonzero(filled)
+    if suspects and len(suspects) >= least:
+        found = [i for i, forms in suspects.items() if known.is_known(passage(i), forms)]
+        # The record is trusted if most of its passages are known forms.
+        if len(found) >= least:
+            trusted[found] = 1
     # Of these words only a passage's first tells code.
-    first = np.concatenate([[0], ends + 1]) if len(numbers) else ends
     code = {i for i, at in enumerate(first.tolist()) if at < len(words) and words[at] in _CODE}
-    if places or repeats or suspects or code:
-        bounds = _bounds(raw, words, set(ends.tolist()))
-        passage = lambda i: raw[bounds[i - 1] if i else 0 : bounds[i]].strip()
-        for i in range(len(bounds)) if repeats else {bisect.bisect_right(bounds, p) for p in places}:
-            trusted[i] = TRUSTED.fullmatch(passage(i).lstrip("#>*- \t")) is not None
-        for i in code | {bisect.bisect_right(bounds, p) for p in suspects}:
+    for i in code | {bisect.bisect_right(bounds, m.start()) for m in _SUSPECT.finditer(raw)}:
+        if i < len(bounds):
             stands[i] = _standing(passage(i))
     return trusted, stands
 
 
-def tokenize(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tokens (buckets as 4-byte numbers), trusted and standing (one byte for each passage)."""
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+
+
+def _passage_of(tokens: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The passage of each token of a batch; lengths: tokens of each text, counts: its passages."""
+    ends = tokens <= _STOP
+    before = np.cumsum(ends) - ends
+    at_start = np.concatenate([[0], np.cumsum(ends)])[_starts(lengths)]
+    return before - np.repeat(at_start, lengths) + np.repeat(_starts(counts), lengths)
+
+
+def _places(tokens: np.ndarray, capitals: np.ndarray, lengths: np.ndarray, counts: np.ndarray, stands: np.ndarray) -> np.ndarray:
+    """_TRAITS numbers for each passage of a batch."""
+    n = int(counts.sum())
+    passage = _passage_of(tokens, lengths, counts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    word = tokens > _STOP
+    size = np.bincount(passage[word], minlength=n)
+    has = lambda which: np.bincount(passage[which], minlength=n) > 0
+    filled = np.bincount(text[size > 0], minlength=len(counts))
+    share = size / np.maximum(np.bincount(text, weights=size, minlength=len(counts)), 1)[text]
+    # A line without an end goes on in the next, unless that leaves its heading, list item or quotation.
+    begins = np.zeros(n, np.int64)
+    at = np.flatnonzero(word)[::-1]
+    begins[passage[at]] = tokens[at]
+    broken = np.zeros(n, bool)
+    line = np.flatnonzero((tokens == _END)[1:] & (tokens[:-1] >= _WORDS)) + 1
+    broken[passage[line]] = True
+    marked = np.isin(begins, [TokenIds._bucket(x) for x in "#-*>|"])
+    same = np.concatenate([[False], (begins[1:] == begins[:-1]) | ~marked[:-1]])[:n]
+    goes_on = np.concatenate([[False], broken[:-1]])[:n] & same & np.concatenate([[False], text[1:] == text[:-1]])[:n]
+    flag = lambda on, number: np.where(on, number, _NONE)
+    return np.stack(
+        [
+            _BY_LENGTH + np.searchsorted([1, 3, 6, 10, 16], size, "right"),
+            _BY_COUNT + np.searchsorted([2, 3, 5, 9], filled, "right")[text],
+            _BY_SHARE + np.minimum((share * 5).astype(np.int64), 4),
+            flag(has((tokens >= _SHAPES) & (tokens < _WORDS)), _HOLDS_FIELD),
+            flag(has(tokens == _QUOTED), _HOLDS_QUOTE),
+            flag(has(capitals), _HOLDS_CAPITALS),
+            flag(goes_on, _GOES_ON),
+            flag(~stands, _NO_TEXT),
+        ],
+        axis=1,
+    ).astype(np.uint8)
+
+
+def tokenize(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", seeds: Mapping[str, tuple[tuple[str, ...], str]] = SEEDS) -> DataFrame:
+    """doc_id, tokens (4-byte numbers), trusted and standing (one byte for each passage), places (_TRAITS bytes for each)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, hints = TokenIds(), _Hints()
+        ids, known = TokenIds(), Known(seeds)
         for batch in batches:
             tokens, trusted, standing = [], [], []
             for raw in batch["text"]:
                 raw = raw if raw.isascii() else _SPACES.sub(" ", raw)
                 words = _TOKEN.findall(raw)
                 numbers = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                marks, stands = _marks(raw, words, numbers, hints)
-                tokens.append(numbers.tobytes())
-                trusted.append(marks.tobytes())
-                standing.append(stands.tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": tokens, "trusted": trusted, "standing": standing})
+                marks, stands = _marks(raw, words, numbers, known)
+                tokens.append(numbers)
+                trusted.append(marks)
+                standing.append(stands)
+            flat = np.concatenate(tokens)
+            lengths, counts = (np.array([len(x) for x in xs], np.int64) for xs in (tokens, trusted))
+            plain = flat & (_CAPITALS - 1)
+            places = _places(plain, flat >= _CAPITALS, lengths, counts, np.concatenate(standing) > 0)
+            cuts = _starts(counts)[1:]
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"],
+                    "tokens": [x.tobytes() for x in np.split(plain, _starts(lengths)[1:])],
+                    "trusted": [x.tobytes() for x in trusted],
+                    "standing": [x.tobytes() for x in standing],
+                    "places": [x.tobytes() for x in np.split(places, cuts)],
+                }
+            )
 
     rows = documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0))
     return rows.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, _TOKENS)
 
 
-def _same_length_lower(text: str) -> str:
-    """Lower case that keeps every place (a few letters get longer in lower case; these stay)."""
-    # Letters that match s and i where case is ignored, as lower() doesn't know.
-    for letter, plain in (("ſ", "s"), ("İ", "i"), ("ı", "i")):
-        text = text.replace(letter, plain)
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
 def _passages(batch: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Of a batch: the bucket of each word and pair, the passage of each, marks of the passages, and their documents."""
+    """Of a batch: the number of each word, pair and trait, the passage of each, marks of the passages, and their documents."""
     tokens = np.frombuffer(b"".join(batch["tokens"]), np.int32)
     lengths = np.array([len(x) // 4 for x in batch["tokens"]], np.int64)
     marks = np.frombuffer(b"".join(batch["trusted"]), np.uint8).astype(bool)
     stands = np.frombuffer(b"".join(batch["standing"]), np.uint8).astype(bool)
+    traits = np.frombuffer(b"".join(batch["places"]), np.uint8).reshape(-1, _TRAITS)
     counts = np.array([len(x) for x in batch["trusted"]], np.int64)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    ends = tokens == _END
-    before = np.cumsum(ends) - ends
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    at_start = np.concatenate([[0], np.cumsum(ends)])[starts]
-    passage = before - np.repeat(at_start, lengths) + np.repeat(first, lengths)
-    word = ~ends
+    passage = _passage_of(tokens, lengths, counts)
+    word = tokens > _STOP
     pair = word[:-1] & word[1:] & (passage[:-1] == passage[1:])
     pairs = (tokens[:-1].astype(np.int64) * 0x9E3779B1 + tokens[1:].astype(np.int64) * 0x85EBCA6B) % BUCKETS
-    buckets = np.concatenate([tokens[word].astype(np.int64), pairs[pair]])
-    return buckets, np.concatenate([passage[word], passage[:-1][pair]]), marks, stands, np.repeat(np.arange(len(batch)), counts)
+    row, column = np.nonzero((traits != _NONE) & (np.bincount(passage[word], minlength=len(traits)) > 0)[:, None])
+    buckets = np.concatenate([tokens[word].astype(np.int64), pairs[pair], BUCKETS + traits[row, column].astype(np.int64)])
+    return buckets, np.concatenate([passage[word], passage[:-1][pair], row]), marks, stands, np.repeat(np.arange(len(batch)), counts)
 
 
-def _posterior(buckets: np.ndarray, passage: np.ndarray, marks: np.ndarray, model: np.ndarray) -> np.ndarray:
-    score = np.bincount(passage, weights=model[buckets], minlength=len(marks)) + np.log(PRIOR / (1 - PRIOR))
+def _posterior(buckets: np.ndarray, passage: np.ndarray, n: int, model: np.ndarray) -> np.ndarray:
+    """The posterior of each of n passages."""
+    score = np.bincount(passage, weights=model[buckets], minlength=n) + np.log(PRIOR / (1 - PRIOR))
     # A passage without words says nothing.
-    score[np.bincount(passage, minlength=len(marks)) == 0] = -50
-    return np.where(marks, 1.0, 1 / (1 + np.exp(-np.clip(score, -50, 50))))
+    score[np.bincount(passage, minlength=n) == 0] = -50
+    return 1 / (1 + np.exp(-np.clip(score, -50, 50)))
 
 
 def _totals(tokens: DataFrame) -> pd.DataFrame:
-    """bucket, n, trusted: how often each word or pair occurs, in all passages and in trusted ones."""
+    """bucket, n, trusted: how often each word, pair or trait occurs, in all passages and in trusted ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        n, trusted = np.zeros(SIZE), np.zeros(SIZE)
         for batch in batches:
             buckets, passage, marks, _, _ = _passages(batch)
-            n += np.bincount(buckets, minlength=BUCKETS)
-            trusted += np.bincount(buckets[marks[passage]], minlength=BUCKETS)
+            n += np.bincount(buckets, minlength=SIZE)
+            trusted += np.bincount(buckets[marks[passage]], minlength=SIZE)
         some = np.flatnonzero(n)
         yield pd.DataFrame({"bucket": some.astype(np.int32), "n": n[some], "trusted": trusted[some]})
 
@@ -340,12 +365,12 @@ def _expected(tokens: DataFrame, model: object) -> pd.DataFrame:
     """bucket, n: how often each occurs in positive passages, by their posteriors under the broadcast model."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(BUCKETS)
+        n = np.zeros(SIZE)
         for batch in batches:
-            buckets, passage, marks, _, _ = _passages(batch)
-            p = _posterior(buckets, passage, marks, model.value)
-            p = np.where(marks, 1.0, np.where(p > 1e-3, p * UNLABELLED_WEIGHT, 0))
-            n += np.bincount(buckets, weights=p[passage], minlength=BUCKETS)
+            buckets, passage, marks, stands, _ = _passages(batch)
+            p = _posterior(buckets, passage, len(marks), model.value)
+            p = np.where(marks, 1.0, np.where((p > 1e-3) & stands, p * UNLABELLED_WEIGHT, 0))
+            n += np.bincount(buckets, weights=p[passage], minlength=SIZE)
         some = np.flatnonzero(n)
         yield pd.DataFrame({"bucket": some.astype(np.int32), "n": n[some]})
 
@@ -353,28 +378,28 @@ def _expected(tokens: DataFrame, model: object) -> pd.DataFrame:
 
 
 def log_odds(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """What each word or pair says for the positive class."""
-    share = (total + 1e-6) / (total.sum() + 1e-6 * len(total))
+    """What each word, pair or trait says for the positive class; nothing if it never occurs."""
+    seen = total > 0
+    share, even = total / max(total.sum(), 1), seen / SIZE
     negative = np.maximum(total - positive, 0)
-    return np.log((positive + SMOOTHING * share) / (positive.sum() + SMOOTHING)) - np.log(
-        (negative + SMOOTHING * share) / (negative.sum() + SMOOTHING)
-    )
+    ratio = (positive + SMOOTHING * even) / (positive.sum() + SMOOTHING) / np.where(seen, (negative + SMOOTHING * share) / (negative.sum() + SMOOTHING), 1)
+    return np.where(seen, np.log(np.where(seen, ratio, 1)), 0.0)
 
 
 def fit(tokens: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The log odds of BUCKETS words and pairs, by expectation-maximization over all passages."""
+    """The log odds of SIZE words, pairs and traits, by expectation-maximization over all passages."""
     spark = tokens.sparkSession
     found = _totals(tokens)
-    total, positive = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    total, positive = np.zeros(SIZE), np.zeros(SIZE)
     total[found["bucket"]] = found["sum(n)"]
     positive[found["bucket"]] = found["sum(trusted)"]
     if not positive.any():
-        return np.full(BUCKETS, -50.0)
+        return np.full(SIZE, -50.0)
     model = log_odds(positive, total)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         found = _expected(tokens, sent)
-        positive = np.zeros(BUCKETS)
+        positive = np.zeros(SIZE)
         positive[found["bucket"]] = found["sum(n)"]
         model = log_odds(positive, total)
         sent.unpersist()
@@ -382,28 +407,21 @@ def fit(tokens: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def score(tokens: DataFrame, model: np.ndarray) -> DataFrame:
-    """doc_id, passage, p, trusted of the passages that are residue: likely under the model, and standing as text."""
+    """doc_id, passage, p of the passages that are residue: likely under the model, and standing as text."""
     sent = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             buckets, passage, marks, stands, owner = _passages(batch)
-            p = _posterior(buckets, passage, marks, sent.value)
+            p = _posterior(buckets, passage, len(marks), sent.value)
             first = np.searchsorted(owner, owner)
-            hit = np.flatnonzero((p >= THRESHOLD) & (marks | stands))
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].to_numpy()[owner[hit]],
-                    "passage": (hit - first[hit]).astype(np.int32),
-                    "p": p[hit],
-                    "trusted": marks[hit],
-                }
-            )
+            hit = np.flatnonzero((p >= THRESHOLD) & stands)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[owner[hit]], "passage": (hit - first[hit]).astype(np.int32), "p": p[hit]})
 
-    return tokens.mapInPandas(run, "doc_id BIGINT, passage INT, p DOUBLE, trusted BOOLEAN")
+    return tokens.mapInPandas(run, "doc_id BIGINT, passage INT, p DOUBLE")
 
 
-def residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, seeds: Mapping[str, tuple[tuple[str, ...], str]] = SEEDS) -> DataFrame:
     """doc_id, passages: the documents that hold residue, and how many passages of it."""
-    tokens = cut(tokenize(documents, doc_id, text))
+    tokens = cut(tokenize(documents, doc_id, text, seeds))
     return score(tokens, fit(tokens, rounds)).groupBy("doc_id").agg(F.countDistinct("passage").alias("passages"))

@@ -374,35 +374,53 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0 and residue.residue(df.where("doc_id < 300")).count() == 0
 
 
-TRUSTED_EXAMPLES = [
-    "Please allow this script.", "If nothing happens, allow scripts.", "Zugriff verweigert.", "Fehler 503: Dienst nicht da.", "500 Internal Server Error", '{"code":500,"message":"Internal server error"}',
-    "<error>gone</error>", "<html><title>404 gone", "Application error: it broke.", "Error establishing a database connection", "This repository could not be found", "The requested page could not be served",
-    "Your session has expired.", "We can’t find the page you want.", "Traceback (most recent call last):", "Le serveur a rencontré une erreur.", "El servicio no está disponible.", "Der Dienst ist zurzeit nicht erreichbar.",
-    "One moment, we look.", "Checking if the site is safe.", "Too many requests.", "Please slow down a bit.", "Confirm that you are a human.", "File not found!", "Sign in again to continue.", "An internal error occurred.",
-    "Lorem ipsum dolor", "dolor sit amet magna nulla.", "quis porta velit augue auctor.", "bla bla bla bla bla", "x_1 x_1 x_1 x_1 x_1", "12 12 12 12 12", "test test", "abc def ghi", "Your description here.", "This is sample copy.",
-    "Real content will follow.", "Beispieltext hier.", "Platzhaltertext.", "Texte à remplacer.", "Texto de ejemplo.", "This is your first post.", "Edit or delete it, then start writing!", "TODO describe it.", "[Titel]",
-    "<Name einfügen>", "Due: dd/mm/yyyy", "Dear Firstname", "Posted undefined by null today", "Hello {{ name }}, hi", "by %%owner%%", "<%= title %>", "<INSERT name HERE>", "${name}", "[a_b.c]", "Version [1.2] is out", "Plea\u017fe allow this \u017fcript.",
+KNOWN_FORMS = [
+    "500 Internal Server Error", "HTTP/1.1 404 Not Found", "Fehler 503: Dienst nicht da.", '{"code":500,"message":"Internal server error"}', "<error>gone</error>", "<html><title>404 gone", "Zugriff verweigert.", "Application error: an unhandled exception occurred.",
+    "Error establishing a database connection", "This repository could not be found", "The requested page could not be served", "Der Dienst ist zurzeit nicht erreichbar.", "Le serveur a rencontré une erreur.", "We can’t find the page you want.", "Your session has expired.",
+    "Too many requests.", "Confirm that you are a human.", "Traceback (most recent call last):", "Please allow this script.", "Diese Anwendung braucht aktivierte Skripte.", "bla bla bla bla bla", "test test 12 test", "This is sample copy.", "Your description here.",
+    "Platzhaltertext.", "Texto de ejemplo.", "This is your first post.", "TODO describe it.", "[Titel]", "<Name einfügen>", "Due: dd/mm/yyyy", "Dear Firstname", "Posted undefined by null today", "Hello {{ name }}, hi", "by %%owner%%", "<INSERT name HERE>", "${name}", "[a_b.c]",
+    "Lorem ipsum dolor sit amet", "dolor sit amet magna nulla.", "Please allow this script and the ones that " + "it loads, " * 200 + "now.",
 ]
 
 
-def test_each_trusted_passage_is_tried():
-    ids, hints = residue.TokenIds(), residue._Hints()
-    for text in TRUSTED_EXAMPLES:
-        assert residue.TRUSTED.fullmatch(text), text
-        for raw in (text, f"We wait here.\n{text}\nIt is closed."):
-            words = residue._TOKEN.findall(raw)
-            marks, _ = residue._marks(raw, words, np.array([ids[w] for w in words], np.int32), hints)
-            assert marks.sum() == 1, raw
-    # All alternatives have hints but the one for a repeated word.
-    assert [bool(residue._needed(a)) for a in residue.alternatives()].count(False) == 1
+def marks_of(raw):
+    ids = residue.TokenIds()
+    words = residue._TOKEN.findall(raw)
+    return residue._marks(raw, words, np.array([ids[w] for w in words], np.int32), residue.Known())
+
+
+def test_each_known_form_makes_a_trusted_record():
+    for text in KNOWN_FORMS:
+        trusted, _ = marks_of(text)
+        assert trusted.sum() == 1, text
+        # In a record of other passages it is not trusted.
+        assert not marks_of(f"We wait here.\nIt is closed.\n{text}\nIt is open.\nIt is done.")[0].any(), text
+    assert not marks_of("We wait here.")[0].any() and not marks_of("")[0].any()
+
+
+def test_the_model_finds_what_no_form_tells(spark):
+    """Only whole records of four forms are trusted; the model finds their passages, and others like them, beside content."""
+    rng = np.random.default_rng(12)
+    nouns = ["lease", "registry", "scanner", "window", "packet", "graph", "cursor", "budget", "module", "signal"]
+    plain = lambda: ". ".join(f"The {a} {b} waits for the {c} until it is closed" for a, b, c in rng.choice(nouns, (6, 3))) + "."
+    told, untold = ["404 Not Found", "Access denied.", "[Insert summary here]", "Your text goes here."], ["The text goes here.", "Sorry: 404 Not Found", "[Insert summary of it here]", "Access to it denied."]
+    rows = [(i, plain()) for i in range(200)] + [(1000 + i, t if i // 4 % 2 else f"{plain()}\n\n{t}") for i, t in enumerate(told * 40)] + [(2000 + i, t if i // 4 % 2 else f"{plain()}\n\n{t}") for i, t in enumerate(untold * 6)]
+    seeds = {k: residue.SEEDS[k] for k in ("status line", "refusal", "bracket", "text here")}
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), seeds=seeds).collect()}
+    assert len([g for g in got if g >= 2000]) >= 6 and len([g for g in got if 1000 <= g < 2000]) == 160 and not [g for g in got if g < 1000]
+    assert residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), seeds={}).count() == 0
 
 
 def test_every_passage_is_asked_whether_it_stands():
-    ids, hints = residue.TokenIds(), residue._Hints()
     raw = "They return the lease.\nThe page says “wait for the lease” now.\nlease(window)\nWe wait."
+    ids = residue.TokenIds()
     words = residue._TOKEN.findall(raw)
-    _, stands = residue._marks(raw, words, np.array([ids[w] for w in words], np.int32), hints)
-    ends = [i for i, w in enumerate(words) if ids[w] == residue._END]
-    bounds = residue._bounds(raw, words, set(ends))
+    numbers = np.array([ids[w] for w in words], np.int32)
+    _, stands = marks_of(raw)
+    bounds = residue._bounds(raw, words, np.flatnonzero((numbers & (residue._CAPITALS - 1)) <= residue._STOP))
     passages = [raw[a:b] for a, b in zip([0, *bounds], bounds)]
     assert stands.tolist() == [residue._standing(p) for p in passages] and 0 < stands.sum() < len(passages)
+    quoted = "We say «wait. Now» and go. It is `a. b` here."
+    words = residue._TOKEN.findall(quoted)
+    numbers = np.array([ids[w] for w in words], np.int32) & (residue._CAPITALS - 1)
+    assert residue._bounds(quoted, words, np.flatnonzero(numbers <= residue._STOP)) == [26, 45, 45]
