@@ -2,10 +2,12 @@
 
 Vectors are scaled to unit length. Each of several tables cuts the space into cells by windows over a few random
 projections; inside a cell each vector looks at all others. Over a further set of projections the collisions are
-counted: a pair whose projections lie within a window of each other often enough is a candidate, and only candidates are
-verified by their cosine. How many projections cut a cell, and how many tables there are, follows from the number of
-vectors and the similarity sought. Cells that hold much of a sample are dealt out to salted blocks, and each pair of
-blocks is one task's group, in which the most similar of each vector are found exactly; nothing in such a cell is lost.
+counted, in windows of two widths centred on the vector: a pair that collides often enough in the narrow and in the wide
+ones is a candidate, and only candidates are verified by their cosine. How many projections cut a cell, and how many
+tables there are, follows from the number of vectors and the similarity asked for, so that at most MISS of the pairs at
+that similarity never meet, at any size. Cells of more than CROWD vectors (counted over every EVERY-th vector, by hash) are
+dealt out to salted blocks, and each pair of blocks is one task's group, in which the most similar of each vector are
+found exactly; nothing in such a cell is lost.
 
 Equal directions are one class from the start, so copies cost nothing: classes are compared, and a class gives its
 members with the smallest hashes to its neighbours' lists, which is all a list of k needs. The cells' rows carry a
@@ -29,21 +31,23 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.words import mix, slices
 
-#: Width of the windows that cut cells, and the half width within which projections collide, for unit vectors.
-WIDTH = 1.8
-NEAR = 2  # of the 16 steps that a projection is kept in: 0.4 each
+#: Width of the windows that cut cells, for unit vectors.
+WIDTH = 2.2
 STEP = 0.4
+#: Windows, in steps of STEP that a projection is kept in, and in how many of COUNTED projections a pair must collide.
+NARROW, WIDE = 1, 2
 COUNTED = 32
-LEAST_COLLISIONS = 28
-#: Vectors a cell should hold, the similarity the tables are laid out for, and the share of such pairs they may miss.
-CELL = 100
-LAID_OUT_FOR = 0.93
-MISS = 0.03
-#: The sample in which crowded cells are sought: at most this many vectors; a cell is crowded if it holds more than this
-#: share of it, and by that share more than CROWD vectors. It gets one block for each BLOCK of them.
-SAMPLE = 8192
-CROWDED = 0.0025
-CROWD = 512
+LEAST_NARROW, LEAST_WIDE = 20, 28
+#: Pairs whose projections are farther apart, in all, than those of all but very few pairs at the similarity asked for
+#: aren't counted: this many standard deviations above the mean of the sum of squared steps.
+SPREAD = 3.5
+#: Vectors a cell should hold, and the share of pairs at the similarity asked for that may never meet in a cell.
+CELL = 1024
+MISS = 0.045
+#: A cell is crowded if it holds more than CROWD vectors, by a count over one vector in EVERY; it gets one block for each
+#: BLOCK of them. There is at most one such cell for each CROWD places, which bounds what is broadcast.
+EVERY = 8
+CROWD = 16384
 BLOCK = 8192
 #: Vectors of a block that are compared at once with the other block, and candidates kept beyond k for rounding.
 AT_ONCE = 1024
@@ -62,7 +66,7 @@ def collision_share(distance: float, width: float) -> float:
     return 1 - 2 * tail - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
 
 
-def layout(n: int, similarity: float = LAID_OUT_FOR, miss: float = MISS) -> tuple[int, int]:
+def layout(n: int, similarity: float = 0.90, miss: float = MISS) -> tuple[int, int]:
     """Projections that cut a cell, and tables, for n vectors."""
     near = collision_share(math.sqrt(2 - 2 * similarity), WIDTH)
     far = collision_share(math.sqrt(2), WIDTH)
@@ -116,7 +120,6 @@ class _Tables:
         self.counted = rng.standard_normal((size, COUNTED)).astype(np.float32)
         self.by_cell = rng.standard_normal((size, tables * cuts)).astype(np.float32)
         self.shift = rng.uniform(0, WIDTH, tables * cuts).astype(np.float32)
-        self.sorted_by = rng.standard_normal((size, tables)).astype(np.float32)
         self.salt = rng.integers(1, 1 << 62, size)
 
     def cells(self, units: np.ndarray, models: np.ndarray, crowded: list[np.ndarray]) -> np.ndarray:
@@ -151,16 +154,26 @@ def _model_numbers(models: pd.Series) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(m.encode()) for m in models], np.uint64)
 
 
-def crowded_cells(sample: pd.DataFrame, size: int, tables: _Tables, n: int) -> list[np.ndarray]:
-    """Cells that hold more than their share of a sample of n vectors, in order, and the blocks of each; at most tables / CROWDED."""
-    rows, unit, classes = _directions(sample, size)
-    _, once = np.unique(classes, return_index=True)
-    unit, models = unit[once], _model_numbers(rows["model_version"].iloc[once])
-    if not len(unit):
+def crowded_cells(vectors: DataFrame, size: int, tables: _Tables) -> list[np.ndarray]:
+    """Cells that hold more than CROWD of the vectors, in order, and the blocks of each."""
+    sent = vectors.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, unit, _ = _directions(batch, size)
+            cell, count = np.unique(sent.value.cells(unit, _model_numbers(rows["model_version"]), []), return_counts=True)
+            yield pd.DataFrame({"cell": cell.view(np.int64), "n": count})
+
+    some = vectors.where(F.pmod(F.xxhash64("content_hash"), F.lit(EVERY)) == 0)
+    # A text that is delivered again and again has one direction, and counts once in a cell.
+    once = some.dropDuplicates(["model_version", "content_hash"])
+    counts = once.mapInPandas(run, "cell BIGINT, n BIGINT").groupBy("cell").agg((F.sum("n") * EVERY).alias("n"))
+    found = counts.where(F.col("n") > CROWD).toPandas()
+    if not len(found):
         return []
-    cell, count = np.unique(tables.cells(unit, models, []), return_counts=True)
-    hot = count > max(CROWDED, CROWD / max(n, 1)) * len(unit)
-    return [cell[hot], np.ceil(count[hot] / len(unit) * n / BLOCK).astype(np.int64)] if hot.any() else []
+    cell = found["cell"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(cell)
+    return [cell[order], np.ceil(found["n"].to_numpy()[order] / BLOCK).astype(np.int64)]
 
 
 def place_in_cells(vectors: DataFrame, size: int, tables: object) -> DataFrame:
@@ -190,7 +203,7 @@ def place_in_cells(vectors: DataFrame, size: int, tables: object) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "cell": cell[sparse].view(np.int64),
-                    "place": (unit @ t.sorted_by)[sparse],
+                    "place": np.zeros(sparse.sum(), np.float32),
                     "class": np.repeat(classes, sparse.sum(axis=1)),
                     "sketch": [sketch[i] for i in np.nonzero(sparse)[0].tolist()],
                 }
@@ -220,6 +233,12 @@ def _steps(sketch: pd.Series) -> np.ndarray:
     return out
 
 
+def colliding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows collide in enough projections, in windows of both widths."""
+    apart = np.abs(a - b)
+    return ((apart <= WIDE).sum(axis=1) >= LEAST_WIDE) & ((apart <= NARROW).sum(axis=1) >= LEAST_NARROW)
+
+
 def most_similar(own: np.ndarray, others: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs: for each of own, the k + SPARE most similar others at a cosine of at least `least`, up to rounding."""
     found_a, found_b = [], []
@@ -253,59 +272,60 @@ def compare_blocks(cell: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
     return found[found["a"] != found["b"]].drop_duplicates()
 
 
+def farthest(least: float) -> float:
+    """The sum of squared steps over all counted projections up to which collisions are counted."""
+    mean = COUNTED * ((2 - 2 * least) / STEP**2 + 1 / 6)
+    return mean * (1 + SPREAD * math.sqrt(2 / COUNTED))
+
+
+def compare_cell(cell: pd.DataFrame, least: float) -> pd.DataFrame:
+    """a, b: pairs of one cell that collide in enough projections; no more than AT_ONCE rows are compared with all at once."""
+    cell = cell.drop_duplicates("class")
+    cls, steps = cell["class"].to_numpy(), _steps(cell["sketch"])
+    x = steps.astype(np.float32) - 7.5
+    squares = (x * x).sum(axis=1)
+    most, found_a, found_b = farthest(least), [], []
+    for start in range(0, len(x) - 1, AT_ONCE):
+        stop = min(start + AT_ONCE, len(x))
+        apart = squares[start:stop, None] + squares[None, start:] - 2 * (x[start:stop] @ x[start:].T)
+        row, other = np.nonzero(apart <= most)
+        keep = other > row
+        row, other = row[keep] + start, other[keep] + start
+        near = colliding(steps[row], steps[other])
+        found_a.append(cls[row[near]])
+        found_b.append(cls[other[near]])
+    none = np.zeros(0, np.int64)
+    a, b = np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def count_collisions(batches: Iterator[pd.DataFrame], k: int = 10, least: float = 0.90) -> Iterator[pd.DataFrame]:
     """a, b: pairs of one cell that collide in enough projections; of crowded cells the most similar pairs.
 
-    Rows come sorted by cell and place. Memory: a batch and what came before of its last cell.
+    Rows come sorted by cell. Memory: a batch and what came before of its last cell.
     """
-    kept: tuple[np.ndarray, ...] | None = None
+
+    def compared(cell: pd.DataFrame) -> pd.DataFrame:
+        return compare_blocks(cell, k, least) if len(cell["sketch"].iloc[0]) > COUNTED // 2 else compare_cell(cell, least)
+
     held: pd.DataFrame | None = None
     for batch in batches:
-        exact = batch["sketch"].str.len().to_numpy() > COUNTED // 2
-        dense, batch = batch[exact], batch[~exact]
-        if len(dense):
-            held = dense if held is None else pd.concat([held, dense])
-            last = held["cell"].iloc[-1]
-            for _, cell in held[held["cell"] != last].groupby("cell", sort=False):
-                yield compare_blocks(cell, k, least)
-            held = held[held["cell"] == last]
-        if not len(batch):
-            continue
-        cell, cls, steps = batch["cell"].to_numpy(), batch["class"].to_numpy(), _steps(batch["sketch"])
-        old = 0
-        if kept is not None:
-            old = len(kept[0])
-            cell, cls, steps = (np.concatenate([x, y]) for x, y in zip(kept, (cell, cls, steps), strict=True))
-        pairs_a, pairs_b = [], []
-        left, ahead = np.arange(len(cell) - 1), 0
-        while len(left):
-            ahead += 1
-            left = left[left + ahead < len(cell)]
-            left = left[cell[left] == cell[left + ahead]]
-            now = left[(left + ahead >= old)]
-            if not len(now):
-                continue
-            near = (np.abs(steps[now] - steps[now + ahead]) <= NEAR).sum(axis=1) >= LEAST_COLLISIONS
-            a, b = cls[now[near]], cls[now[near] + ahead]
-            pairs_a.append(np.minimum(a, b))
-            pairs_b.append(np.maximum(a, b))
-        tail = np.flatnonzero(cell == cell[-1])
-        kept = cell[tail], cls[tail], steps[tail]
-        if pairs_a:
-            found = pd.DataFrame({"a": np.concatenate(pairs_a), "b": np.concatenate(pairs_b)})
-            yield found[found["a"] != found["b"]].drop_duplicates()
-    if held is not None:
-        yield compare_blocks(held, k, least)
+        held = batch if held is None else pd.concat([held, batch])
+        starts = np.flatnonzero(np.diff(held["cell"].to_numpy(), prepend=held["cell"].iloc[0] ^ 1))
+        done = [compared(held.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True) if b > a + 1]
+        held = held.iloc[starts[-1] :]
+        if done:
+            yield pd.concat(done).drop_duplicates()
+    if held is not None and len(held) > 1:
+        yield compared(held)
 
 
 def candidates(vectors: DataFrame, size: int, k: int = 10, least: float = 0.90) -> DataFrame:
     """a, b: pairs of classes to verify."""
     spark = vectors.sparkSession
     n = vectors.count()
-    tables = _Tables(size, *layout(n))
-    share = max(1, math.ceil(2 * n / SAMPLE))
-    sample = vectors.where(F.pmod(F.xxhash64("content_hash"), F.lit(share)) == 0).limit(SAMPLE).toPandas()
-    sent = spark.sparkContext.broadcast((tables, crowded_cells(sample, size, tables, n)))
+    tables = _Tables(size, *layout(n, least))
+    sent = spark.sparkContext.broadcast((tables, crowded_cells(vectors, size, tables)))
     cells = place_in_cells(vectors, size, sent).repartition("cell").sortWithinPartitions("cell", "place")
     return cells.mapInPandas(lambda batches: count_collisions(batches, k, least), "a BIGINT, b BIGINT").distinct()
 

@@ -258,23 +258,45 @@ def test_layout_grows_slowly():
     assert neighbours.collision_share(0.1, 1.8) > 0.9 > neighbours.collision_share(1.414, 1.8)
 
 
-def test_crowded_cells_are_cut():
+def test_crowded_cells_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CROWD", 400)
+    monkeypatch.setattr(neighbours, "BLOCK", 200)
     rng = np.random.default_rng(7)
-    import pandas as pd
-
-    near = rng.standard_normal(64) + rng.standard_normal((900, 64)) * 0.25
-    frame = pd.DataFrame({"vector": list(np.concatenate([near, rng.standard_normal((300, 64))])), "content_hash": "h", "model_version": "m"})
+    near = rng.standard_normal(64) + rng.standard_normal((9000, 64)) * 0.25
+    x = np.concatenate([near, rng.standard_normal((3000, 64))]).astype(np.float32)
+    df = spark.createDataFrame([("m", f"h{i}", v) for i, v in enumerate(x.tolist())], "model_version string, content_hash string, vector array<float>")
     tables = neighbours._Tables(64, 3, 4)
-    crowded = neighbours.crowded_cells(frame, 64, tables, 120_000)
+    crowded = neighbours.crowded_cells(df, 64, tables)
+    frame = df.toPandas()
     _, unit, _ = neighbours._directions(frame, 64)
     models = neighbours._model_numbers(frame["model_version"])
     before = np.unique(tables.cells(unit, models, []), return_counts=True)[1].max()
     after = np.unique(tables.cells(unit, models, crowded), return_counts=True)[1].max()
-    assert crowded and after < before / 2
-
-
-@pytest.mark.parametrize("block", [neighbours.BLOCK, 300])
-def test_a_topic_with_a_third_of_the_vectors(spark, monkeypatch, block):
+    assert len(crowded[0]) and after < before / 2
+
+
+def test_pairs_at_the_bound_are_met():
+    """Random pairs at the cosine asked for, through cells and counts, for few and for very many vectors."""
+    rng = np.random.default_rng(13)
+    a = rng.standard_normal((4000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((4000, 64))
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.90 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
+    a, b = a.astype(np.float32), b.astype(np.float32)
+    model = np.zeros(len(a), np.uint64)
+    for n in (17_000, 173_000, 17_000_000, 1_000_000_000):
+        t = neighbours._Tables(64, *neighbours.layout(n, 0.90))
+        met = (t.cells(a, model, []) == t.cells(b, model, [])).any(axis=1)
+        import pandas as pd
+
+        steps = [neighbours._steps(pd.Series([x.tobytes() for x in t.sketches(y)])) for y in (a, b)]
+        assert (met & neighbours.colliding(*steps)).mean() >= 0.94, n
+
+
+@pytest.mark.parametrize(("crowd", "block"), [(neighbours.CROWD, neighbours.BLOCK), (512, 8192), (512, 300)])
+def test_a_topic_with_a_third_of_the_vectors(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(neighbours, "CROWD", crowd)
     monkeypatch.setattr(neighbours, "BLOCK", block)
     rng = np.random.default_rng(11)
     topic = rng.standard_normal(64) + rng.standard_normal((3000, 64)) * 0.23  # mean cosine 0.95
