@@ -2,7 +2,9 @@
 
 In each round every sequence replaces pairs of neighbouring symbols that occur at least twice by a new symbol, most
 frequent pairs first: a pair is replaced where it is more frequent than the pairs that overlap it (equal ones are
-settled by a hash, runs of one pair from the left). All sequences of a batch take their rounds together, as arrays.
+settled by a hash, runs of one pair from the left), until no pair is left that occurs twice. All sequences of a batch take
+their rounds together, as arrays. A symbol's value is made from its pair alone, so a grammar depends on nothing but its
+own sequence, however sequences are dealt out to batches.
 """
 
 from __future__ import annotations
@@ -13,8 +15,6 @@ import numpy as np
 
 from marginalia.llm.words import mix
 
-ROUNDS = 24
-
 
 class Grammars(NamedTuple):
     """Of each sequence: its length, the length of its grammar, rules, and tokens that long, often used rules cover."""
@@ -64,7 +64,7 @@ def replace(symbols: np.ndarray, owner: np.ndarray, at: np.ndarray, by: np.ndarr
 
 
 def grammars(symbols: np.ndarray, owner: np.ndarray, count: int, least: int = 8, uses: int = 4) -> Grammars:
-    """The Re-Pair grammar of each of `count` sequences: symbols (below 2^20) with the sequence each belongs to.
+    """The Re-Pair grammar of each of `count` sequences: symbols with the sequence each belongs to.
 
     covered: tokens under rules of at least `least` tokens that their sequence uses at least `uses` times.
     """
@@ -74,14 +74,14 @@ def grammars(symbols: np.ndarray, owner: np.ndarray, count: int, least: int = 8,
     expanded = np.ones(len(symbols), np.int64)
     done = np.zeros(len(symbols), bool)
     s, f = symbols.astype(np.int64), owner.astype(np.int64)
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         valid = f[:-1] == f[1:]
-        keys = mix((f[:-1].astype(np.uint64) << np.uint64(1)) + np.uint64(1)) ^ pair_keys(s[:-1], s[1:])
+        pairs = pair_keys(s[:-1], s[1:])
+        # Pairs are counted in each sequence by itself.
+        keys = mix((f[:-1].astype(np.uint64) << np.uint64(1)) + np.uint64(1)) ^ pairs
         _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         n = counts[inverse]
-        priority = np.where(valid & (n >= 2), (n.astype(np.uint64) << np.uint64(40)) + (keys >> np.uint64(24)), np.uint64(0))
+        priority = np.where(valid & (n >= 2), (n.astype(np.uint64) << np.uint64(40)) + (pairs >> np.uint64(24)), np.uint64(0))
         taken = np.flatnonzero(choose(priority, keys))
         if not len(taken):
             break
@@ -95,7 +95,7 @@ def grammars(symbols: np.ndarray, owner: np.ndarray, count: int, least: int = 8,
         often = (used[inverse[taken]] >= uses) & (size >= least)
         inner = np.where(done[taken], expanded[taken], 0) + np.where(done[taken + 1], expanded[taken + 1], 0)
         np.add.at(covered, f[taken[often]], (size - inner)[often])
-        new = keys[taken].view(np.int64)
+        new = pairs[taken].view(np.int64)
         keep = np.ones(len(s), bool)
         keep[taken + 1] = False
         s[taken] = new
@@ -112,9 +112,7 @@ def shared_rules(symbols: np.ndarray, owner: np.ndarray) -> list[Rules]:
     s, f = symbols.astype(np.int64), owner.astype(np.int64)
     expanded = np.ones(len(s), np.int64)
     out: list[Rules] = []
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         keys = pair_keys(s[:-1], s[1:])
         keys = np.where(f[:-1] == f[1:], keys, np.uint64(0))
         pairs, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)

@@ -7,9 +7,9 @@ themselves a second grammar is inferred from the reference collection of third-p
 its long rules cover tells copies, also slightly changed ones. A header in the leading comments, and the folder, are
 taken as evidence as well.
 
-One scan: every file is judged in its task. Only the rules of the reference travel: they are inferred per piece of the
-collection, of bounded size (PIECE_BYTES of text each), and each piece is broadcast; a larger collection has more
-pieces, and the remaining files are read once for each.
+One scan: every file is judged in its task. Only the rules of the reference travel: they are inferred once, per piece of
+the collection, of bounded size (PIECE_BYTES of text each), and kept in the checkpoint folder; AT_ONCE pieces are
+broadcast together, and only for a larger collection are the files read again, once for each further AT_ONCE pieces.
 
 Defined results: null paths are ignored; a null or empty text is judged by its path alone; a path walked twice comes
 out once; texts are read whole; a null reference text is ignored; other columns are ignored.
@@ -24,11 +24,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.grammar import Rules, grammars, parse, shared_rules
 from marginalia.llm.words import MEMORY, WordHashes, slices
+from marginalia.plans.lineage import cut
 
 #: Grammar length per token, and share of tokens under long rules, from which a file counts as written by a program.
 #: Any text's grammar gets shorter per token as the text gets longer; the bound falls with the length beyond LONG_FILE tokens.
@@ -52,6 +54,7 @@ SHARED_RULE = 16
 LONG_LINES = 200
 LEAST_TOKENS = 40
 PIECE_BYTES = 8 << 20
+AT_ONCE = 4
 TOKENS_AT_ONCE = 400_000
 
 JUDGED = "path STRING, generated BOOLEAN, minified BOOLEAN, data BOOLEAN, vendored BOOLEAN, grammar DOUBLE, reuse DOUBLE, literal DOUBLE, shared DOUBLE"
@@ -91,25 +94,20 @@ _LITERAL_S, _LITERAL_N = 1, 2
 
 
 class _Shapes(dict):
-    """token -> number of its shape; shapes are numbered as they come, the same for all sequences of a task."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.numbers = {"S": _LITERAL_S, "N": _LITERAL_N}
+    """token -> number of its shape, the same in every process."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > MEMORY:
             self.clear()
         first = token[0]
         if len(token) > 1 and first in "\"'`<":
-            shape = "S"
+            value = _LITERAL_S
         elif first.isdigit():
-            shape = "N"
-        elif first.isalpha() or first == "_":
-            shape = token if token in _KEYWORDS else "I"
+            value = _LITERAL_N
         else:
-            shape = token
-        value = self[token] = self.numbers.setdefault(shape, len(self.numbers) + 1)
+            shape = "I" if (first.isalpha() or first == "_") and token not in _KEYWORDS else token
+            value = xxhash.xxh64_intdigest(shape.encode("utf-8", "surrogatepass")) >> 2 | 4
+        self[token] = value
         return value
 
 
@@ -140,8 +138,8 @@ def has_header(text: str) -> bool:
     return any(HEADER.search(line) and not _HAND.search(line) for line in head.split("\n"))
 
 
-def _judge(batch: pd.DataFrame, shapes: _Shapes, hashes: WordHashes, rules: list[Rules], only_shared: bool) -> pd.DataFrame:
-    """JUDGED for a batch of files. only_shared: judge by the shared rules alone."""
+def _judge(batch: pd.DataFrame, shapes: _Shapes, hashes: WordHashes, rules: list[list[Rules]], only_shared: bool) -> pd.DataFrame:
+    """JUDGED for a batch of files. rules: of some pieces of the reference. only_shared: judge by the shared rules alone."""
     texts = [t or "" for t in batch["text"]]
     paths = batch["path"].tolist()
     tokens = [tokens_of(t) for t in texts]
@@ -186,7 +184,7 @@ def _judge(batch: pd.DataFrame, shapes: _Shapes, hashes: WordHashes, rules: list
         words = open_[owner] & (shape != shapes["\n"])
         at = np.flatnonzero(words)
         symbols = np.fromiter((hashes[flat[i]] for i in at), np.int64, len(at))
-        covered = parse(symbols, owner[at], n, rules, SHARED_RULE)
+        covered = np.max([parse(symbols, owner[at], n, piece, SHARED_RULE) for piece in rules], axis=0)
         out["shared"] = covered / np.maximum(np.bincount(owner[at], minlength=n), 1)
         out["vendored"] |= (out["shared"] >= LEAST_SHARED) & (length >= LEAST_TOKENS)
     return out
@@ -233,21 +231,22 @@ def judge(files: DataFrame, reference: DataFrame | None = None) -> DataFrame:
         size = reference.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         pieces = math.ceil(size / PIECE_BYTES)
 
-    def one(piece: int) -> DataFrame:
-        rules = spark.sparkContext.broadcast(_as_rules(grammar.where(F.col("piece") == piece).toPandas()) if pieces else [])
+    def one(first: int) -> DataFrame:
+        pieces_now = range(first, min(first + AT_ONCE, pieces))
+        sent = spark.sparkContext.broadcast([_as_rules(grammar.where(F.col("piece") == i).toPandas()) for i in pieces_now])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shapes, hashes = _Shapes(), WordHashes()
             for batch in batches:
                 for a, b in slices([len(t or "") // 4 + 1 for t in batch["text"]], TOKENS_AT_ONCE):
-                    found = _judge(batch.iloc[a:b].reset_index(drop=True), shapes, hashes, rules.value, piece > 0)
+                    found = _judge(batch.iloc[a:b].reset_index(drop=True), shapes, hashes, sent.value, first > 0)
                     flags = found[["generated", "minified", "data", "vendored"]].any(axis=1)
                     yield found[flags][[c.split()[0] for c in JUDGED.split(", ")]]
 
         return rows.mapInPandas(run, JUDGED)
 
-    grammar = reference_rules(reference, pieces) if pieces else None
-    return reduce(DataFrame.union, [one(i) for i in range(max(1, pieces))])
+    grammar = cut(reference_rules(reference, pieces)) if pieces else None
+    return reduce(DataFrame.union, [one(i) for i in range(0, max(1, pieces), AT_ONCE)])
 
 
 def machine_paths(files: DataFrame, reference: DataFrame | None = None) -> DataFrame:

@@ -24,6 +24,22 @@ def test_grammar_lengths():
     assert g.covered[0] > 300 and g.covered[1] == 0 and g.size[2] == 0
 
 
+def test_grammars_depend_on_their_sequence_alone():
+    rng = np.random.default_rng(3)
+    sequences = [np.concatenate([rng.integers(1, 9, rng.integers(0, 200)), np.tile(rng.integers(1, 1 << 60, 5), rng.integers(0, 30))]) for _ in range(40)]
+
+    def measures(order):
+        flat = np.concatenate([sequences[i] for i in order])
+        g = grammar.grammars(flat, np.repeat(np.arange(len(order)), [len(sequences[i]) for i in order]), len(order))
+        return {i: (g.length[k], g.size[k], g.rules[k], g.covered[k]) for k, i in enumerate(order)}
+
+    whole = measures(list(range(40)))
+    assert whole == measures(list(rng.permutation(40))) == {i: measures([i])[i] for i in range(40)}
+    # Chains of ever longer phrases take many more rounds than a phrase of tokens that is halved.
+    chain = np.concatenate([np.arange(1, n) for n in range(2, 90)] * 2)
+    assert grammar.grammars(chain, np.zeros(len(chain), np.int64), 1).size[0] < 400
+
+
 def test_shared_rules_tell_copies():
     rng = np.random.default_rng(2)
     reference = rng.integers(0, 1 << 60, 600)
@@ -61,6 +77,17 @@ def test_machine_paths(spark):
     assert machine.hand_written(files, reference).where("path = 't/a.py'").count() == 1
 
 
+def test_a_large_reference_comes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(machine, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(machine, "AT_ONCE", 2)
+    rng = np.random.default_rng(10)
+    some = lambda: "\n".join("    " + "".join(f"n{rng.integers(500)}{'+-*/%.,|&<>='[rng.integers(12)]}" for _ in range(8)) for _ in range(60))
+    texts = [some() for _ in range(8)]
+    files = spark.createDataFrame([(f"t/{i}.py", t) for i, t in enumerate(texts)] + [("t/own.py", some())], "path string, text string").repartition(5)
+    found = machine.machine_paths(files, spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(r.path for r in found.collect()) == [f"t/{i}.py" for i in range(8)]
+
+
 def test_literals_are_judged_by_their_own_grammar(spark):
     rng = np.random.default_rng(4)
     blob = "\n".join(rng.bytes(30).hex() for _ in range(30))
