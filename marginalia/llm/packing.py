@@ -1,14 +1,14 @@
 """Texts packed into containers of a fixed number of tokens, next to texts they share words with.
 
 Texts are sized by a public tokenizer. A sharded BM25 index over the texts' words answers, for each seed text, which
-unused texts are most like it; these fill the seed's container greedily, and what room is left goes to the largest
-unused texts that fit. Only a text above the capacity is split: into full containers and a rest that is packed like
+unused texts are most like it, by all its words that another text of the shard has; these fill the seed's container
+greedily, and what room is left goes to the largest unused texts that fit. Only a text above the capacity is split: into full containers and a rest that is packed like
 any other text.
 
 Document frequencies and the mean length are taken over all texts (words are counted in FREQUENCY_BUCKETS buckets, so
 the table that travels has a fixed size). Shards are ranges of the texts sorted by their most telling word, cut by
 Spark to SHARD texts each, so that a word or source that a third of the texts share is spread over many shards and no
-task holds more than a shard. Texts are read once; their sizes and words are kept in the checkpoint folder.
+task holds more than a shard, which bounds what a seed can retrieve. The vocabulary travels as a file of the job. Texts are read once; their sizes and words are kept in the checkpoint folder.
 
 Defined results: null and empty texts need no room and get no container; rows without id give none; a row repeated
 with the same id is packed as often as it stands there; texts are read whole; other columns are ignored.
@@ -19,10 +19,12 @@ from __future__ import annotations
 import base64
 import bisect
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FREQUENCY_BUCKETS = 1 << 18
 SHARD = 2000
-#: Words of a seed that are looked up, the most telling first, and neighbours that are tried before plain best fit.
-QUERY_WORDS = 24
-NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 
 _SIZED = "doc_id BIGINT, tokens INT, words BINARY, times BINARY, n_words INT"
@@ -56,8 +55,11 @@ def encoder(vocabulary: str) -> object:
 def sized(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, tokens, and the words (as buckets) with their counts."""
 
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         hashes = WordHashes()
         for batch in batches:
             sizes, words, times, totals = [], [], [], []
@@ -67,7 +69,7 @@ def sized(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
                 bucket = np.fromiter(map(hashes.__getitem__, found), np.int64, len(found)) & (FREQUENCY_BUCKETS - 1)
                 word, count = np.unique(bucket, return_counts=True)
                 words.append(word.astype(np.int32).tobytes())
-                times.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+                times.append(count.astype(np.int32).tobytes())
                 totals.append(len(found))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": sizes, "words": words, "times": times, "n_words": totals})
 
@@ -119,7 +121,7 @@ class _Shard:
         self.words, self.sizes, self.idf = words, sizes, idf
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         flat = np.concatenate(words) if words else np.zeros(0, np.int32)
-        tf = (np.concatenate(times) if times else np.zeros(0, np.uint8)).astype(np.float64)
+        tf = (np.concatenate(times) if times else np.zeros(0, np.int32)).astype(np.float64)
         score = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / max(mean, 1)))
         order = np.argsort(flat, kind="stable")
         self.posted, self.owner, self.score = flat[order], owner[order], score[order]
@@ -133,15 +135,16 @@ class _Shard:
     def neighbours(self, seed: int, room: int) -> np.ndarray:
         """Unused items that fit, most like the seed first."""
         words = self.words[seed]
-        if len(words) > QUERY_WORDS:
-            words = words[np.argpartition(-self.idf[words], QUERY_WORDS)[:QUERY_WORDS]]
         lo, hi = np.searchsorted(self.posted, words), np.searchsorted(self.posted, words, "right")
-        at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]) if len(words) else np.zeros(0, int)
+        # Words that only the seed has retrieve nobody.
+        shared = hi - lo > 1
+        lo, size = lo[shared], (hi - lo)[shared]
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
         owner = self.owner[at]
         ok = self.unused[owner] & (self.sizes[owner] <= room)
-        items, where = np.unique(owner[ok], return_inverse=True)
-        score = np.bincount(where, weights=self.score[at][ok], minlength=len(items))
-        return items[np.lexsort((items, -score))][:NEIGHBOURS]
+        score = np.bincount(owner[ok], weights=self.score[at][ok], minlength=len(self.sizes))
+        items = np.flatnonzero(score > 0)
+        return items[np.lexsort((items, -score[items]))]
 
     def largest_fitting(self, room: int) -> int | None:
         i = bisect.bisect_right(self.ranked_sizes, room) - 1
@@ -163,7 +166,7 @@ def pack_shard(rows: pd.DataFrame, capacity: int, idf: np.ndarray, mean: float,
             count += 1
     sizes = np.where(tokens > capacity, tokens % capacity, tokens)
     words = [np.frombuffer(w, np.int32) for w in rows["words"]]
-    times = [np.frombuffer(w, np.uint8) for w in rows["times"]]
+    times = [np.frombuffer(w, np.int32) for w in rows["times"]]
     shard = _Shard(words, times, rows["n_words"].to_numpy(np.float64), sizes, idf, mean)
     shard.unused &= sizes > 0
     for seed in np.argsort(-sizes, kind="stable").tolist():
@@ -173,11 +176,13 @@ def pack_shard(rows: pd.DataFrame, capacity: int, idf: np.ndarray, mean: float,
         shard.take(seed)
         content = [seed]
         if room:
-            for item in shard.neighbours(seed, room).tolist():
-                if sizes[item] <= room:
-                    shard.take(item)
-                    content.append(item)
-                    room -= int(sizes[item])
+            near = shard.neighbours(seed, room)
+            while len(near):
+                item = int(near[0])
+                shard.take(item)
+                content.append(item)
+                room -= int(sizes[item])
+                near = near[1:][sizes[near[1:]] <= room]
         while room and (item := shard.largest_fitting(room)) is not None:
             shard.take(item)
             content.append(item)

@@ -48,6 +48,11 @@ def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents", "doc_id", "text", spread=True))
 
 
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of p6_packed are."""
+    return packing.fill(p6_packed(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of a benchmark item."""
     return leaks.leaks(
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p8_found": p8_found,
 }

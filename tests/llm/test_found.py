@@ -381,12 +381,27 @@ def test_neighbours_share_words():
     hashes = WordHashes()
     texts = ["alpha beta gamma"] * 3 + ["delta epsilon zeta"] * 3
     buckets = [np.unique(hashes.of(t) & (packing.FREQUENCY_BUCKETS - 1)).astype(np.int32) for t in texts]
-    frame = pd.DataFrame({"doc_id": range(6), "tokens": [3] * 6, "words": [b.tobytes() for b in buckets], "times": [np.ones(3, np.uint8).tobytes()] * 6, "n_words": [3] * 6})
+    frame = pd.DataFrame({"doc_id": range(6), "tokens": [3] * 6, "words": [b.tobytes() for b in buckets], "times": [np.ones(3, np.int32).tobytes()] * 6, "n_words": [3] * 6})
     idf = np.ones(packing.FREQUENCY_BUCKETS)
     out = packing.pack_shard(frame, 9, idf, 3.0, "s")
     assert {tuple(sorted(g["doc_id"])) for _, g in out.groupby("container")} == {(0, 1, 2), (3, 4, 5)}
 
 
+def test_all_words_and_all_neighbours_count():
+    import pandas as pd
+
+    # The seed has 40 words of its own, and one that a hundred short texts share; all of these go with it.
+    own, common = np.arange(1, 41), 50
+    words = [np.sort(np.append(own, common))] + [np.array([common, 100 + i]) for i in range(100)] + [np.array([1000 + i]) for i in range(100)]
+    sizes = [300] + [2] * 100 + [2] * 100
+    frame = pd.DataFrame({"doc_id": range(201), "tokens": sizes, "words": [w.astype(np.int32).tobytes() for w in words], "times": [np.full(len(w), 700, np.int32).tobytes() for w in words], "n_words": sizes})
+    idf = np.ones(packing.FREQUENCY_BUCKETS)
+    idf[own] = 9.0
+    out = packing.pack_shard(frame, 500, idf, 3.0, "s")
+    first = out[out["container"] == out.loc[out["doc_id"] == 0, "container"].iloc[0]]
+    assert set(first["doc_id"]) == set(range(101))
+
+
 # p7
 
 
