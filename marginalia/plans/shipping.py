@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from marginalia.plans.lineage import shared_folder
-
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -24,9 +23,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if importable() or getattr(sc, "_marginalia_shipped", False):
         return
-    folder = shared_folder(spark).removeprefix("file:")
-    archive = Path("/" + folder.lstrip("/"), "marginalia.zip")
-    archive.parent.mkdir(parents=True, exist_ok=True)
+    # The driver serves the archive to the executors, whatever file system they share.
+    archive = Path(tempfile.mkdtemp(prefix="spark-package-"), "marginalia.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(ROOT.rglob("*.py")):
             out.write(file, file.relative_to(ROOT.parent))
