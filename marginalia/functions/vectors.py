@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import fnv1a, tokens
+from marginalia.functions.text import FNV_MASK, FNV_OFFSET, FNV_PRIME, tokens
 
 BUCKETS = 64
+#: Distinct words remembered by a task before its memory is emptied.
+MEMORY = 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,16 +40,35 @@ def unit(a: Column) -> Column:
 
 
 def hash_embedding(df: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """key, vector: counts of each text's words in hash buckets, scaled to unit length.
+    """key, vector: counts of each text's words in hash buckets, scaled to unit length; one row for each key.
 
-    Words are counted per text first; the hash is computed once for each distinct word. Texts without words get a
-    vector of zeros.
+    Words are split in the JVM; each task hashes a word once and remembers it, so nothing is shuffled but repeated keys.
+    Texts without words, and null texts, get a vector of zeros.
     """
-    words = df.select(key, F.explode(tokens(F.col(text))).alias("word")).groupBy(key, "word").count()
-    hashed = words.select("word").distinct().select("word", (fnv1a(F.col("word")) % buckets).cast("int").alias("bucket"))
-    counts = words.join(hashed, "word").groupBy(key, "bucket").agg(F.sum("count").alias("n"))
-    sums = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("sums"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length")
-    )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at(F.col("sums"), i), F.lit(0)) / F.coalesce(F.col("length"), F.lit(1.0)))
-    return df.select(key).distinct().join(sums, key, "left").select(key, F.when(F.col("sums").isNull(), F.array_repeat(F.lit(0.0), buckets)).otherwise(dense).alias("vector"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            words = batch["words"].tolist()
+            out = np.zeros((len(words), buckets))
+            for i, ws in enumerate(words):
+                for word in () if ws is None else ws:
+                    b = known.get(word)
+                    if b is None:
+                        if len(known) > MEMORY:
+                            known.clear()
+                        b = known[word] = fnv1a_of(word) % buckets
+                    out[i, b] += 1
+            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            yield pd.DataFrame({key: batch[key], "vector": list(out / np.where(norm > 0, norm, 1))})
+
+    rows = df.select(key, tokens(F.col(text)).alias("words")).dropDuplicates([key])
+    return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, vector ARRAY<DOUBLE>")
+
+
+def fnv1a_of(word: str) -> int:
+    """32-bit FNV-1a of a word's UTF-8 bytes."""
+    h = FNV_OFFSET
+    for byte in word.encode("utf-8", "surrogatepass"):
+        h = (h ^ byte) * FNV_PRIME & FNV_MASK
+    return h

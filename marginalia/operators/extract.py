@@ -63,8 +63,9 @@ def _bind(text: str, places: _Places, nodes: list[Node], start: int, end: int, d
     ahead = begin
     while language == "python" and text.startswith("@", ahead):
         ahead = re.compile(r"[^\n]*\n[ \t]*").match(text, ahead).end()
+    exported = re.compile(r"export\s+(?:default\s+)?").match(text, begin)
     for node in nodes:
-        if node.start in (begin, ahead) or begin <= node.start <= begin + 24 and text[begin : node.start].strip() in ("export", "export default"):
+        if node.start in (begin, ahead) or exported and exported.end() == node.start:
             return node.symbol, places.span(node.start, node.end)
     stop = text.find("\n", begin)
     return around, places.span(begin, len(text) if stop < 0 else stop)

@@ -90,19 +90,27 @@ def merge_overlaps(findings: DataFrame, keys: tuple[str, ...] = ("file_path", "c
     order = Window.partitionBy(*keys).orderBy("span.start_byte", "span.end_byte", "finding_id")
     reach = F.max("span.end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(F.col("span.start_byte") < reach, 0).otherwise(1)
-    clustered = findings.withColumn("starts", starts).withColumn("cluster", F.sum("starts").over(order))
+    marked = findings.withColumn("starts", starts)
+    clustered = marked.withColumn("cluster", F.sum("starts").over(order)).withColumn("next_starts", F.coalesce(F.lead("starts").over(order), F.lit(1)))
+    kept = [c for c in findings.columns if c != "also_from"]
+    own = F.coalesce("also_from", F.array().cast("array<string>"))
+
+    def others(origins: Column, best: str) -> Column:
+        return F.array_sort(F.filter(origins, lambda x: ~x.eqNullSafe(F.col(best)))).alias("also_from")
+
+    # Most findings overlap none; these pass by, and only the others are aggregated.
+    alone = (F.col("starts") == 1) & (F.col("next_starts") == 1)
+    single = clustered.where(alone).select(*kept, others(F.array_distinct(F.filter(own, lambda x: x.isNotNull())), "origin"), F.lit(1).cast("bigint").alias("merged"))
     rank = F.coalesce(severity_rank(F.col("severity")), F.lit(-1))
     canonical = F.struct(
         (-rank).alias("r"), F.col("file_path").alias("f"), F.col("span.start_line").alias("l"), F.col("span.start_byte").alias("b"),
         F.col("provider_rule_id").alias("p"), F.col("finding_id").alias("i"),
     )
-    kept = [c for c in findings.columns if c != "also_from"]
-    origins = F.array_union(F.collect_set("origin"), F.coalesce(F.flatten(F.collect_set("also_from")), F.array().cast("array<string>")))
-    merged = clustered.groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], "cluster").agg(
-        F.min_by(F.struct(*kept), canonical).alias("best"), origins.alias("origins"), F.count("*").alias("merged")
+    origins = F.array_union(F.collect_set("origin"), F.array_distinct(F.flatten(F.collect_set(own))))
+    merged = clustered.where(~alone).groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], "cluster").agg(
+        F.min_by(F.struct(*kept), canonical).alias("best"), F.filter(origins, lambda x: x.isNotNull()).alias("origins"), F.count("*").alias("merged")
     )
-    others = F.array_sort(F.array_except("origins", F.array("best.origin")))
-    return merged.select("best.*", others.alias("also_from"), "merged")
+    return single.unionByName(merged.select("best.*", others(F.col("origins"), "best.origin"), "merged"))
 
 
 def merge_per_comment(findings: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def script(text: str) -> tuple[list[Piece], list[Node]]:
         if m["comment"]:
             comments.append(Piece(m.start(), m.end(), m[0].startswith("/**") and m[0] != "/**/"))
         elif m["open"]:
-            head = _JS_HEAD.search("\n" + text[max(last, m.start() - 600) : m.start()])
+            head = _JS_HEAD.search("\n" + text[last : m.start()])
             name = head and (head["class"] or head["function"] or head["const"] or head["method"])
             if head and head["method"] and (head["method"] in _JS_KEYWORDS or not (blocks and blocks[-1][2] and blocks[-1][2]["class"])):
                 name = None

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import directive
 from marginalia.operators.classify import DIRECTIVE_WORD
 
 KEY = ("bound_symbol", "fingerprint", "rule")
+#: The name of what a directive without targets names.
+ALL = ""
 
 
 def directives(comments: DataFrame, word: str = DIRECTIVE_WORD) -> DataFrame:
@@ -19,43 +21,62 @@ def directives(comments: DataFrame, word: str = DIRECTIVE_WORD) -> DataFrame:
     return found.where(F.col("d").isNotNull()).select("directive_id", "path", "line", "d.verb", "d.targets")
 
 
-def _names(targets: Column) -> Column:
-    rules = F.array("provider_rule_id", "canonical_rule_id", "category", "origin")
-    return (F.size(targets) == 0) | F.arrays_overlap(targets, rules)
+def _names() -> Column:
+    """What directives may name a finding by, ALL among them."""
+    names = F.array("provider_rule_id", "canonical_rule_id", "category", "origin", F.lit(ALL))
+    return F.array_distinct(F.filter(names, lambda x: x.isNotNull()))
 
 
 def suppressed_by_directive(findings: DataFrame, found: DataFrame, everywhere: bool = False) -> DataFrame:
     """finding_id, directive_id: the first directive that covers each finding.
 
     A directive covers its file, its line, the next line, or the region from its line on unless an enabling directive
-    stands between it and the finding. Joins are on the file (everywhere: on nothing but the scope, for repositories
-    whose directives are pooled). Directives are few against findings; AQE broadcasts or splits as sizes demand.
+    stands between it and the finding. Directives are exploded to what they name (a rule, category or origin; all, if they
+    name nothing), and findings to their names, so that file and line scopes are equality joins with one row for each
+    place and name. Regions are one window over each file and name, in order of lines, over findings and directives
+    together: the earliest disabling directive since the last enabling one. everywhere: as if all rows were of one file, for
+    repositories whose directives are pooled; names and lines still split the work.
     """
-    f = findings.select(
-        "finding_id", F.lit("") .alias("path") if everywhere else F.col("file_path").alias("path"), F.col("span.start_line").alias("at"),
-        "provider_rule_id", "canonical_rule_id", "category", "origin",
-    )
+    place = F.lit("").alias("path") if everywhere else F.col("file_path").alias("path")
+    f = findings.select("finding_id", place, F.col("span.start_line").cast("int").alias("line"), F.explode(_names()).alias("name"))
     d = found.withColumn("path", F.lit("")) if everywhere else found
-    covering = d.where(F.col("verb") != "enable")
-    scope = (
-        (F.col("verb") == "disable-file")
-        | ((F.col("verb") == "disable-line") & (F.col("line") == F.col("at")))
-        | ((F.col("verb") == "disable-next-line") & (F.col("line") + 1 == F.col("at")))
-        | ((F.col("verb") == "disable") & (F.col("line") <= F.col("at")))
-    )
-    hits = f.join(covering, "path").where(scope & _names(F.col("targets")))
-    enabling = d.where(F.col("verb") == "enable").select(
-        F.col("path").alias("e_path"), F.col("line").alias("e_line"), F.col("targets").alias("e_targets")
-    )
-    ended = (
-        (F.col("path") == F.col("e_path"))
-        & (F.col("verb") == "disable")
-        & (F.col("line") < F.col("e_line"))
-        & (F.col("e_line") <= F.col("at"))
-        & ((F.size("e_targets") == 0) | (F.size("targets") == 0) | F.arrays_overlap("targets", "e_targets"))
-    )
-    live = hits.join(enabling, ended, "left_anti")
-    return live.groupBy("finding_id").agg(F.min_by("directive_id", F.struct("path", "line", "directive_id")).alias("directive_id"))
+    targets = F.when(F.size("targets") > 0, F.col("targets")).otherwise(F.array(F.lit(ALL)))
+    one = F.struct(F.col("path").alias("p"), F.col("line").alias("l"), F.col("directive_id").alias("d"))
+    d = d.select("path", "verb", F.col("line").cast("int").alias("line"), F.explode(targets).alias("name"), one.alias("one"))
+
+    def first(verb: str, *keys: str, shift: int = 0) -> DataFrame:
+        rows = d.where(F.col("verb") == verb).withColumn("line", F.col("line") + shift)
+        return f.join(rows.groupBy(*keys).agg(F.min("one").alias("one")), list(keys)).select("finding_id", "one")
+
+    by_place = first("disable-file", "path", "name").unionByName(first("disable-line", "path", "line", "name"))
+    by_place = by_place.unionByName(first("disable-next-line", "path", "line", "name", shift=1))
+    return by_place.unionByName(_in_regions(f, d)).groupBy("finding_id").agg(F.min("one").alias("one")).select("finding_id", F.col("one.d").alias("directive_id"))
+
+
+def _in_regions(f: DataFrame, d: DataFrame) -> DataFrame:
+    """finding_id, one: the first region that holds each finding, for each of its names.
+
+    A directive that names nothing opens a region of all names, and an enabling one that names nothing ends all regions,
+    so that those of a file are repeated for each name that the file's regions have; an enabling directive that names
+    something ends the regions of that name, and those of all names.
+    """
+    region = d.where(F.col("verb").isin("disable", "enable"))
+    names = region.where(F.col("name") != ALL).select("path", "name").distinct().withColumnRenamed("name", "_name")
+    enabling, disabling = region.where("verb = 'enable'"), region.where("verb = 'disable'")
+    plain = region.where(F.col("name") != ALL)
+    ends_all = enabling.where(F.col("name") == ALL).join(names, "path").withColumn("name", F.col("_name")).drop("_name")
+    # Regions of all names end at every enabling directive of the file.
+    ends_any = enabling.withColumn("name", F.lit(ALL))
+    marks = plain.unionByName(ends_all).unionByName(ends_any).unionByName(disabling.where(F.col("name") == ALL))
+    marks = marks.select("path", "name", "line", F.when(F.col("verb") == "enable", 0).otherwise(1).alias("what"), F.lit(None).cast("bigint").alias("finding_id"), "one")
+    empty = F.lit(None).cast(marks.schema["one"].dataType)
+    asked = f.select("path", "name", "line", F.lit(2).alias("what"), "finding_id", empty.alias("one"))
+    # On one line a region that ends comes before one that begins, and both before the findings.
+    order = Window.partitionBy("path", "name").orderBy("line", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marks.unionByName(asked).withColumn("run", F.sum(F.when(F.col("what") == 0, 1).otherwise(0)).over(order))
+    within = Window.partitionBy("path", "name", "run").orderBy("line", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.withColumn("one", F.min(F.when(F.col("what") == 1, F.col("one"))).over(within))
+    return held.where((F.col("what") == 2) & F.col("one").isNotNull()).select("finding_id", "one")
 
 
 def unused_directives(findings: DataFrame, found: DataFrame, everywhere: bool = False) -> DataFrame:

@@ -22,6 +22,12 @@ def _any(column: str, pieces: object) -> str:
     return "(" + " OR ".join("contains({}, '{}')".format(column, p.replace("'", "''")) for p in pieces) + ")"
 
 
+def _head(marks: object) -> str:
+    """Whether a mark stands within the first 8 KiB of a text."""
+    at = "instr(lower(text), '{0}')"
+    return "(" + " OR ".join(f"({at.format(m)} > 0 AND strlen(substr(text, 1, ({at.format(m)} - 1)::INT)) + {len(m)} <= 8192)" for m in marks) + ")"
+
+
 _RANK = f"(list_position([{_quoted(SEVERITIES)}], severity) - 1)"
 _ANCHOR = _case("category", CATEGORY_SEVERITY)
 _WALKED = """(SELECT path, w.tree AS tree, w.language AS language, w.text AS text, w.content_hash AS content_hash FROM (
@@ -115,7 +121,7 @@ SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6)
     "fn_cosine": f"""SELECT content_hash, round(CASE WHEN list_sum(list_transform(vector, lambda x: x::DOUBLE * x)) > 0 THEN list_cosine_similarity(vector::DOUBLE[], {_VECTOR}) ELSE 0 END, 5) AS cosine
 FROM ({_USABLE}) WHERE len(list_filter(vector, lambda x: isnan(x))) = 0""",
     "sc_walk": f"""SELECT path, coalesce({_case("lower(regexp_extract(path, '\\.([^./]+)$', 1))", EXTENSIONS)}, CASE WHEN starts_with(string_split(text, chr(10))[1], '#!') AND contains(string_split(text, chr(10))[1], 'sh') THEN 'shell' END) AS language,
-  {_any("lower(substr(text, 1, 8192))", GENERATED)} OR strlen(string_split(text, chr(10))[1]) > 2000 AS generated FROM {_WALKED}""",
+  {_head(GENERATED)} OR strlen(string_split(text, chr(10))[1]) > 2000 AS generated FROM {_WALKED}""",
     "sc_ignored": """SELECT DISTINCT path FROM walked_files WHERE NOT starts_with(path, '.git/') AND NOT CASE
   WHEN regexp_matches(path, '^harbor-mono/tests/[^/]*\\.py(/|$)') THEN false WHEN regexp_matches(path, '^harbor-mono/tests/.*') THEN true
   WHEN regexp_matches(path, '(^|/)[^/]*\\.min\\.js(/|$)') THEN true WHEN regexp_matches(path, '(^|/)node_modules/.*') THEN true ELSE false END""",

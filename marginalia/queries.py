@@ -35,11 +35,15 @@ def _findings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "findings")
 
 
-def _walked(spark: SparkSession, folder: str) -> DataFrame:
-    """walked_files with one row for each path, the latest (paths walked twice have the same text)."""
-    w = table(spark, folder, "walked_files", "tree", "path", "language", "text", "content_hash", "walked_at")
-    latest = w.groupBy("path").agg(F.max_by(F.struct("tree", "language", "text", "content_hash"), "walked_at").alias("w"))
-    return latest.select("path", "w.*")
+def _walked(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The columns of walked_files with one row for each path, the latest; only the columns asked for are read."""
+    return files.latest(table(spark, folder, "walked_files", *dict.fromkeys(["path", "walked_at", *columns]))).drop("walked_at")
+
+
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    """path, language, text of the latest files; language by path and text."""
+    w = _walked(spark, folder, "text")
+    return w.select("path", files.language(F.col("path"), F.col("text")).alias("language"), "text")
 
 
 @query
@@ -105,7 +109,7 @@ def fn_cosine(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sc_walk(spark: SparkSession, folder: str) -> DataFrame:
     """Language and the generated-file test for all files."""
-    return _walked(spark, folder).select("path", files.language(F.col("path"), F.col("text")).alias("language"), files.is_generated(F.col("text")).alias("generated"))
+    return _walked(spark, folder, "text").select("path", files.language(F.col("path"), F.col("text")).alias("language"), files.is_generated(F.col("text")).alias("generated"))
 
 
 @query
@@ -140,15 +144,13 @@ def ex_markers(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def ex_comments(spark: SparkSession, folder: str) -> DataFrame:
     """Every comment of every readable file: kind, symbol, place and text hash."""
-    w = _walked(spark, folder)
-    found = extract.comments(w.select("path", files.language(F.col("path"), F.col("text")).alias("language"), "text"))
+    found = extract.comments(_sources(spark, folder))
     return found.select("path", "kind", "bound_symbol", F.col("span.start_byte").alias("start_byte"), F.col("span.end_line").alias("end_line"), "content_hash")
 
 
 @query
 def ex_definitions(spark: SparkSession, folder: str) -> DataFrame:
-    w = _walked(spark, folder)
-    found = extract.definitions(w.select("path", files.language(F.col("path"), F.col("text")).alias("language"), "text"))
+    found = extract.definitions(_sources(spark, folder))
     return found.select("path", "symbol", F.col("span.start_line").alias("line"), F.array_join("params", ",").alias("params"), "has_return")
 
 
@@ -199,7 +201,7 @@ def rt_drift(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def rt_signatures(spark: SparkSession, folder: str) -> DataFrame:
     """Documentation that claims what the signature doesn't hold."""
-    w = _walked(spark, folder).select("path", files.language(F.col("path"), F.col("text")).alias("language"), "text")
+    w = _sources(spark, folder)
     claims = rot.contracts(rot.with_intent(_comments(spark, folder)))
     return rot.signature_findings(claims, extract.definitions(w).where("params IS NOT NULL")).select("comment_id", "message")
 
@@ -238,7 +240,7 @@ def jn_cache_misses(spark: SparkSession, folder: str) -> DataFrame:
     results = table(spark, folder, "provider_results")
     tools = F.broadcast(spark.createDataFrame([("ruff",), ("shellcheck",), ("eslint",), ("gitleaks",)], "provider STRING"))
     versions = F.broadcast(results.groupBy("provider").agg(F.max("provider_version").alias("provider_version")))
-    contents = _walked(spark, folder).where("content_hash IS NOT NULL").select("content_hash").distinct()
+    contents = _walked(spark, folder, "content_hash").where("content_hash IS NOT NULL").select("content_hash").distinct()
     needed = contents.withColumn("provider", F.explode(F.array(*[F.lit(x) for x in ("ruff", "shellcheck", "eslint", "gitleaks")])))
     needed = needed.join(tools, "provider", "left_semi").join(versions, "provider")
     return providers.missing(needed.select("content_hash", "provider", "provider_version"), results)
@@ -312,7 +314,7 @@ def ag_exit_code(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ag_set_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return providers.set_hash(_walked(spark, folder).where("content_hash IS NOT NULL"), "tree")
+    return providers.set_hash(_walked(spark, folder, "tree", "content_hash").where("content_hash IS NOT NULL"), "tree")
 
 
 @query
@@ -451,8 +453,7 @@ def up_strip_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def up_stripped_texts(spark: SparkSession, folder: str) -> DataFrame:
     """All files without their comments, as far as the code stays the same."""
-    w = _walked(spark, folder).select("path", files.language(F.col("path"), F.col("text")).alias("language"), "text")
-    w = w.where("text IS NOT NULL AND language IS NOT NULL")
+    w = _sources(spark, folder).where("text IS NOT NULL AND language IS NOT NULL")
     plan = edit.removal_plan(extract.comments(w))
     return edit.strip(w, plan).select("path", "removed", "failed", F.sha2("new_text", 256).alias("hash"))
 

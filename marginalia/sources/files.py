@@ -31,7 +31,7 @@ def language(path: Column, text: Column | None = None) -> Column:
 
 def is_generated(text: Column) -> Column:
     """Whether the head of a file says that it is generated, or its first line is too long to be written by hand."""
-    head = F.lower(F.substring(text, 1, HEAD_BYTES))
+    head = F.lower(F.substring(F.encode(text, "UTF-8"), 1, HEAD_BYTES).cast("string"))
     marked = F.lit(False)
     for mark in GENERATED:
         marked = marked | head.contains(mark)
@@ -105,6 +105,19 @@ def tree(spark: SparkSession, root: str) -> DataFrame:
     return entries.repartition(max(1, min(200, spark.sparkContext.defaultParallelism * 4)), "entry").mapInPandas(run, "path STRING, text STRING")
 
 
+def latest(files: DataFrame, at: str = "walked_at") -> DataFrame:
+    """files with one row for each path, that of the latest walk; of rows of one walk, one.
+
+    The latest walk of each path is found over two narrow columns, and the texts stay where they are; only those of
+    paths that stand twice in one walk are shuffled.
+    """
+    times = files.groupBy(F.col("path").alias("_path"), F.col(at).alias("_at")).agg(F.count("*").alias("_n"))
+    newest = times.groupBy("_path").agg(F.max(F.struct("_at", "_n")).alias("_m")).select("_path", "_m.*")
+    same = (F.col("path") == F.col("_path")) & F.col(at).eqNullSafe(F.col("_at"))
+    once = files.join(newest.where("_n = 1"), same, "left_semi")
+    return once.unionByName(files.join(newest.where("_n > 1"), same, "left_semi").dropDuplicates(["path"]))
+
+
 def universe(files: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """path of every file that isn't ignored, hidden ones included; the repository's own folder is left out."""
     path = F.col("path")
