@@ -76,6 +76,30 @@ def in_scope(findings: DataFrame, files: DataFrame) -> DataFrame:
     return findings.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
 
 
+def provider_files(files: DataFrame, providers: DataFrame) -> DataFrame:
+    """provider, path: what each provider is run on, the files of its languages, or all if it names none.
+
+    providers: provider, languages; a few rows, broadcast.
+    """
+    named = F.broadcast(providers.select("provider", F.explode("languages").alias("language")))
+    every = F.broadcast(providers.where(F.coalesce(F.size("languages"), F.lit(0)) == 0).select(F.collect_list("provider").alias("_p")).withColumn("_one", F.lit(1)))
+    paths = files.select("path", "language")
+    rest = paths.select("path").withColumn("_one", F.lit(1)).join(every, "_one").select(F.explode("_p").alias("provider"), "path")
+    return paths.join(named, "language").select("provider", "path").unionByName(rest)
+
+
+def scoped_states(runs: DataFrame, kept: DataFrame, scoped: DataFrame) -> DataFrame:
+    """runs (provider, run_state) with the states of comment-scoped providers recomputed from the findings that are left.
+
+    SUCCESS if any is left, else EMPTY; PARTIAL and SKIPPED stay. scoped: provider; a few rows, broadcast.
+    """
+    left = kept.select(F.col("origin").alias("provider")).distinct().withColumn("_left", F.lit(True))
+    marked = runs.join(F.broadcast(scoped.select("provider").withColumn("_scoped", F.lit(True))), "provider", "left").join(left, "provider", "left")
+    redone = F.col("_scoped") & F.col("run_state").isin("SUCCESS", "EMPTY")
+    state = F.when(redone, F.when(F.col("_left"), "SUCCESS").otherwise("EMPTY")).otherwise(F.col("run_state"))
+    return marked.withColumn("run_state", state).drop("_scoped", "_left")
+
+
 def for_languages(files: DataFrame, languages: list[str]) -> DataFrame:
     """Files a provider is run on: those of its languages, or all if it names none."""
     return files.where(F.col("language").isin(*languages)) if languages else files

@@ -10,6 +10,8 @@ from marginalia.plans.lineage import cut
 
 
 KEY = ("bound_symbol", "kind", "cosmetic_fingerprint")
+#: Parts of the comments of one symbol and kind.
+SALTS = 16
 
 
 def ordinals(comments: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -36,24 +38,33 @@ def ordinals(comments: DataFrame, partitions: int | None = None) -> DataFrame:
     return a.join(b, same, "left").select(*[F.col(f"a.{c}") for c in comments.columns], ordinal)
 
 
-def lookup(identities: DataFrame, symbol: str | None, kind: str, fingerprint: str) -> DataFrame:
-    """The identities of one key, in order; a null symbol matches null."""
-    same = F.col("bound_symbol").eqNullSafe(F.lit(symbol)) & (F.col("kind") == kind) & (F.col("cosmetic_fingerprint") == fingerprint)
-    return identities.where(same).orderBy("ordinal")
+def lookup(identities: DataFrame, keys: DataFrame) -> DataFrame:
+    """The identities (bound_symbol, kind, cosmetic_fingerprint, ordinal, ...) of the keys asked for; a null symbol matches null."""
+    a, b = identities.alias("a"), keys.select(*KEY).distinct().alias("b")
+    same = F.lit(True)
+    for k in KEY:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same, "left_semi")
+
+
+def _two_smallest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, next: the two smallest ids of each key; every task keeps two for a key before the shuffle."""
+    ranked = rows.select(*keys, "id").withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where("_nth <= 2")
+    return ranked.groupBy(*keys).agg(F.min("id").alias("id"), F.min(F.when(F.col("_nth") == 2, F.col("id"))).alias("next"))
 
 
 def match(queries: DataFrame, stored: DataFrame, least: float = 0.8, by_vector: bool = True) -> DataFrame:
-    """query_id, id, tier: the stored comment that each query is, by the first tier that has one.
+    """query_id, id, tier: the other stored comment that each query is, by the first tier that has one.
 
     Tiers: 1 equal text, 2 equal symbol and fingerprint, 3 equal fingerprint under another symbol, 4 equal symbol and
     kind with a cosine of at least `least`, if exactly one candidate has it. Within a tier the smallest id wins. The
-    first three tiers join with one row for each key; the fourth compares the comments of one symbol with each other.
+    first three tiers join with few rows for each key; the fourth compares each query with the comments of its symbol and
+    kind, which are dealt out over SALTS, as a symbol like the module's own may hold much of a table.
     """
     q = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "content_hash", "bound_symbol", "cosmetic_fingerprint", "kind", "vector")])
     s = stored.select("id", "content_hash", "bound_symbol", "cosmetic_fingerprint", "kind", "vector")
     # The stored side has one row for each key before it is joined, so that a text which is everywhere costs one row.
-    by_text = s.groupBy("content_hash").agg(F.min("id").alias("id"))
-    by_symbol = s.groupBy("cosmetic_fingerprint", "bound_symbol").agg(F.min("id").alias("id"))
+    by_text, by_symbol = _two_smallest(s, ["content_hash"]), _two_smallest(s, ["cosmetic_fingerprint", "bound_symbol"])
     first = by_symbol.groupBy("cosmetic_fingerprint").agg(F.min(F.struct("id", "bound_symbol")).alias("one"))
     rest = by_symbol.join(first, "cosmetic_fingerprint").where(~F.col("bound_symbol").eqNullSafe(F.col("one.bound_symbol")))
     second = rest.groupBy("cosmetic_fingerprint").agg(F.min("id").alias("two"))
@@ -62,16 +73,19 @@ def match(queries: DataFrame, stored: DataFrame, least: float = 0.8, by_vector:
     def best(joined: DataFrame, tier: int) -> DataFrame:
         return joined.select("q_id", "id").where(F.col("id").isNotNull()).withColumn("tier", F.lit(tier))
 
+    another = F.when(F.col("id") == F.col("q_id"), F.col("next")).otherwise(F.col("id"))
+
     other = F.when(F.col("q_bound_symbol").eqNullSafe(F.col("one.bound_symbol")), F.col("two")).otherwise(F.col("one.id"))
     tiers = [
-        best(q.join(by_text, q["q_content_hash"] == by_text["content_hash"]), 1),
-        best(q.join(by_symbol, (q["q_cosmetic_fingerprint"] == by_symbol["cosmetic_fingerprint"]) & q["q_bound_symbol"].eqNullSafe(by_symbol["bound_symbol"])), 2),
+        best(q.join(by_text, q["q_content_hash"] == by_text["content_hash"]).withColumn("id", another), 1),
+        best(q.join(by_symbol, (q["q_cosmetic_fingerprint"] == by_symbol["cosmetic_fingerprint"]) & q["q_bound_symbol"].eqNullSafe(by_symbol["bound_symbol"])).withColumn("id", another), 2),
         best(q.join(by_print, q["q_cosmetic_fingerprint"] == by_print["cosmetic_fingerprint"]).withColumn("id", other), 3),
     ]
     if by_vector:
-        near = q.join(s, (q["q_bound_symbol"] == s["bound_symbol"]) & (q["q_kind"] == s["kind"])).where(
-            cosine(F.col("q_vector"), F.col("vector")) >= least
-        )
+        dealt = q.where(F.col("q_vector").isNotNull()).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = s.where(F.col("vector").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        same = (dealt["q_bound_symbol"] == rows["bound_symbol"]) & (dealt["q_kind"] == rows["kind"]) & (dealt["_salt"] == rows["_salt"])
+        near = dealt.join(rows, same).where((F.col("q_id") != F.col("id")) & (cosine(F.col("q_vector"), F.col("vector")) >= least))
         only = near.groupBy("q_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
         tiers.append(only.select("q_id", "id", F.lit(4).alias("tier")))
     union = tiers[0]

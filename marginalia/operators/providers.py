@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from marginalia.functions.places import byte_offset
+from marginalia.functions.text import ESLINT_CATEGORY
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,13 @@ SHELLCHECK = Manifest(
 GITLEAKS = Manifest(
     "gitleaks", "$[*]", "$.RuleID", "$.Description", "$.File", "$.StartLine", "$.StartColumn", default_category="secret", comment_scoped=True,
 )
-BUILT_IN = (RUFF, SHELLCHECK, GITLEAKS)
+ESLINT = Manifest(
+    "eslint", "$[*].messages[*]", "$.ruleId", "$.message", "$.filePath", "$.line", "$.column", severity="$.severity",
+    category_map=dict(ESLINT_CATEGORY), keep_only_mapped=True, languages=("typescript", "javascript"), supports_fix=True, coordinate_system="1-based-utf16",
+)
+#: Letters of a row's hash that name its part of a group: sixteen to this power parts.
+PART_LETTERS = 3
+BUILT_IN = (RUFF, SHELLCHECK, GITLEAKS, ESLINT)
 
 
 def run_state(document: Column, rows: Column) -> Column:
@@ -87,10 +94,16 @@ def normalise(runs: DataFrame, manifest: Manifest, document: str = "document") -
     Scalars come out as text; a missing line is 1, missing texts are empty; broken documents give no rows. Findings
     whose rule has no category are dropped.
     """
-    array = manifest.iterate.removesuffix("[*]")
+    outer, _, nested = manifest.iterate.removesuffix("[*]").partition("[*]")
     parsed = runs.where(F.col(document).isNotNull()).withColumn("_v", F.try_parse_json(F.col(document))).where(F.col("_v").isNotNull())
-    inner = F.try_variant_get(F.col("_v"), array, "array<variant>")
-    rows = parsed.where(inner.isNotNull()).select(*[c for c in runs.columns if c != document], F.posexplode(inner).alias("nth", "_f"))
+    inner = F.try_variant_get(F.col("_v"), outer, "array<variant>")
+    kept = [c for c in runs.columns if c != document]
+    rows = parsed.where(inner.isNotNull()).select(*kept, F.posexplode(inner).alias("nth", "_o")).withColumn("_f", F.col("_o"))
+    if nested:
+        # Findings stand below each outer item, which still tells the file.
+        items = F.try_variant_get(F.col("_o"), f"${nested}", "array<variant>")
+        below = rows.where(items.isNotNull()).select(*kept, F.col("nth").alias("_n"), "_o", F.posexplode(items).alias("_m", "_f"))
+        rows = below.withColumn("nth", F.col("_n") * 100_000 + F.col("_m"))
 
     def get(path: str, kind: str = "string") -> Column:
         return F.try_variant_get(F.col("_f"), path, kind)
@@ -105,7 +118,7 @@ def normalise(runs: DataFrame, manifest: Manifest, document: str = "document") -
         _category(manifest, rule).alias("category"),
         (get(manifest.severity) if manifest.severity else F.lit(None).cast("string")).alias("severity_native"),
         F.coalesce(get(manifest.message), F.lit("")).alias("message"),
-        F.regexp_replace(F.coalesce(get(manifest.file), F.lit("")), r"^\./", "").alias("file_path"),
+        F.regexp_replace(F.coalesce(get(manifest.file), F.try_variant_get(F.col("_o"), manifest.file, "string"), F.lit("")), r"^\./", "").alias("file_path"),
         F.coalesce(get(manifest.line, "int"), F.lit(1)).alias("line"),
         get(manifest.column, "int").alias("column"),
     ).where(F.col("category").isNotNull())
@@ -199,9 +212,15 @@ def missing(needed: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def set_hash(rows: DataFrame, group: str, path: str = "path", digest: str = "content_hash") -> DataFrame:
-    """group, set_hash: SHA-256 over each group's sorted `path NUL hash LF` rows; file order doesn't matter."""
-    one = F.concat(F.col(path), F.lit("\u0000"), F.col(digest), F.lit("\n"))
-    return rows.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ""), 256).alias("set_hash"))
+    """group, set_hash: a SHA-256 of each group's `path NUL hash LF` rows, whatever their order.
+
+    Rows are hashed one by one and dealt to PARTS by the first letters of their hash; a part's hash is that of its sorted
+    row hashes, the group's that of its parts' hashes. So no task holds a group's rows, only a part's hashes.
+    """
+    row = F.sha2(F.concat(F.col(path), F.lit("\u0000"), F.col(digest), F.lit("\n")), 256)
+    hashed = rows.select(group, row.alias("_row")).withColumn("_part", F.substring("_row", 1, PART_LETTERS))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    return hashed.groupBy(group, "_part").agg(joined("_row").alias("_row")).groupBy(group).agg(joined("_row").alias("set_hash"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -36,6 +36,29 @@ def config_hash(dump: str) -> str:
     return "sha256:" + hashlib.sha256(dump.encode()).hexdigest()
 
 
+def config_hash_of(dump: Column) -> Column:
+    """`config_hash` as a column."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.encode(dump, "UTF-8"), 256))
+
+
+def keys_of(providers: DataFrame, group: str, schema: int, ruleset: int, index_schema: int) -> DataFrame:
+    """group, inputs_key, index_key of each group of providers (provider, provider_version, config_hash; one row each)."""
+    part = F.concat(F.lit(";"), "provider", F.lit("="), "provider_version", F.lit("@"), "config_hash")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("provider", part.alias("part")))), lambda x: x["part"]), "")
+    inputs = providers.groupBy(group).agg(F.sha2(F.concat(F.lit(f"inputs_schema={schema}"), parts), 256).alias("inputs_key"))
+    return inputs.withColumn("index_key", F.sha2(F.concat("inputs_key", F.lit(f";ruleset={ruleset};index_schema={index_schema}")), 256))
+
+
+def version_key_of(binary: Column, config: Column) -> Column:
+    """`version_key` as a column; null where the program is null."""
+    return F.sha2(F.concat(F.encode(F.sha2(binary, 256), "UTF-8"), F.lit(b"\0"), F.encode(config, "UTF-8")), 256)
+
+
+def readable_column(version: Column, current: int) -> Column:
+    """`readable` as a column."""
+    return (version <= current) & (F.lit(current) <= version + 1)
+
+
 def version_key(binary: bytes | None, config: str) -> str | None:
     """The key of a provider; None (not cacheable) if its program can't be read."""
     if binary is None:

@@ -7,7 +7,8 @@ joins and set expressions; only doc contracts are parsed line by line, in Python
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ PATH_EXTENSIONS = (
     "sql", "txt", "cfg", "ini", "env", "rs", "go", "rb", "vue",
 )
 DRIFT_DAYS = 30
+#: Lines of a block whose latest commit is kept.
+BLOCK_LINES = 64
 LEAST_MEANING = 35
 
 _NAME = r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*"
@@ -35,7 +38,9 @@ _NAME = r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*"
 _TICKED = r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)"
 _HELD = rf"^\s*({_NAME})\s*(\(.*\))?\s*$"
 _CALLED = rf"(?<![\w`.$])({_NAME})\(([^()`\n]*)\)"
-RULES = {"rot_ref": "reference_stale", "rot_path": "path_missing", "rot_drift": "rot_candidate", "rot_signature": "doc_drift", "rot_semantic": "rot_candidate"}
+#: Detectors that can be switched off.
+DETECTORS = ("references", "paths", "drift", "signatures", "meaning")
+RULES = {"rot_candidate": "rot_candidate", "rot_ref": "reference_stale", "rot_path": "path_missing", "rot_drift": "rot_candidate", "rot_signature": "doc_drift", "rot_semantic": "rot_candidate"}
 
 
 def with_intent(comments: DataFrame) -> DataFrame:
@@ -125,14 +130,23 @@ def missing_paths(comments: DataFrame, paths: DataFrame) -> DataFrame:
 def latest_in_lines(rows: DataFrame, blame: DataFrame, span: str, key: str = "id") -> DataFrame:
     """key, commit: the latest commit among each row's lines (of equal times that of the lower line).
 
-    Rows are exploded to their lines, so the join is an equality on path and line.
+    Rows are exploded to whole blocks of lines, of which blame holds the latest commit, and to the lines at both ends, so
+    that the join is an equality, and a range of many lines costs a few rows.
     """
-    lines = rows.where(F.col(f"{span}.start_line").isNotNull()).select(
-        key, "path", F.explode(F.sequence(F.col(f"{span}.start_line"), F.greatest(f"{span}.start_line", f"{span}.end_line"))).alias("line")
-    )
-    return lines.join(blame, ["path", "line"]).groupBy(key).agg(
-        F.max_by(F.struct("author", "email", "commit_id", "committed_unix"), F.struct("committed_unix", "line")).alias("commit")
-    )
+    first, last = F.col(f"{span}.start_line"), F.greatest(f"{span}.start_line", f"{span}.end_line")
+    block, none = F.lit(BLOCK_LINES), F.array().cast("array<struct<whole:boolean,n:int>>")
+    # Blocks from `low` up to but not with `high` lie within the range.
+    low, high = F.ceil(first / block).cast("int"), F.floor((last + 1) / block).cast("int")
+    single = lambda a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda n: F.struct(F.lit(False).alias("whole"), n.cast("int").alias("n")))).otherwise(none)
+    blocks = F.transform(F.sequence(low, high - 1), lambda n: F.struct(F.lit(True).alias("whole"), n.cast("int").alias("n")))
+    parts = F.when(low < high, F.concat(blocks, single(first, low * block - 1), single(high * block, last))).otherwise(single(first, last))
+    asked = rows.where(first.isNotNull()).select(key, "path", F.explode(parts).alias("at")).select(key, "path", "at.*")
+    commit = F.struct("committed_unix", (-F.col("line")).alias("line"), "author", "email", "commit_id")
+    lines = blame.select("path", F.lit(False).alias("whole"), F.col("line").cast("int").alias("n"), commit.alias("c"))
+    whole = blame.groupBy("path", F.floor(F.col("line") / block).cast("int").alias("n")).agg(F.max(commit).alias("c"))
+    known = lines.unionByName(whole.withColumn("whole", F.lit(True)))
+    latest = asked.join(known, ["path", "whole", "n"]).groupBy(key).agg(F.max("c").alias("c"))
+    return latest.select(key, F.struct("c.author", "c.email", "c.commit_id", "c.committed_unix").alias("commit"))
 
 
 def enrich(comments: DataFrame, blame: DataFrame) -> DataFrame:
@@ -150,6 +164,13 @@ def drift(comments: DataFrame, blame: DataFrame, days: int = DRIFT_DAYS) -> Data
     return late.select(F.col("id").alias("comment_id"), F.lit("rot_drift").alias("rule"), message.alias("message"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("length"))
 
 
+def flagged(comments: DataFrame, blame: DataFrame) -> DataFrame:
+    """comments with is_rot_candidate: whether their code has a later commit than they have; false without history."""
+    code = latest_in_lines(comments, blame, "bound_node_range").select("id", F.col("commit.committed_unix").alias("_code"))
+    late = is_rot_candidate(F.col("git.committed_unix"), F.col("_code"))
+    return comments.drop("is_rot_candidate").join(code, "id", "left").withColumn("is_rot_candidate", late).drop("_code")
+
+
 def is_rot_candidate(comment_unix: Column, code_unix: Column) -> Column:
     return F.coalesce(comment_unix < code_unix, F.lit(False))
 
@@ -243,25 +264,31 @@ def detect(
     blame: DataFrame | None = None,
     signatures: DataFrame | None = None,
     vectors: DataFrame | None = None,
+    off: Collection[str] = (),
 ) -> DataFrame:
-    """comment_id, rule, message, start, length of all detectors that have their inputs."""
+    """comment_id, rule, message, start, length of all detectors that have their inputs and aren't switched off.
+
+    off: names among DETECTORS.
+    """
     c = with_intent(comments)
-    parts = [stale_references(c, known), missing_paths(c, paths)]
-    if blame is not None:
-        parts.append(drift(c, blame))
-    if signatures is not None:
-        parts.append(signature_findings(contracts(c), signatures))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.unionByName(misaligned(c, vectors, out)) if vectors is not None else out
+    parts = {
+        "references": lambda: stale_references(c, known),
+        "paths": lambda: missing_paths(c, paths),
+        "drift": lambda: drift(c, blame) if blame is not None else None,
+        "signatures": lambda: signature_findings(contracts(c), signatures) if signatures is not None else None,
+    }
+    made = [part for name, make in parts.items() if name not in off and (part := make()) is not None]
+    none = "comment_id BIGINT, rule STRING, message STRING, start BIGINT, length BIGINT"
+    out = reduce(DataFrame.unionByName, made) if made else comments.sparkSession.createDataFrame([], none)
+    return out.unionByName(misaligned(c, vectors, out)) if vectors is not None and "meaning" not in off else out
 
 
 def as_findings(rows: DataFrame, comments: DataFrame) -> DataFrame:
     """Native findings of detector rows: their target is the comment's text, their place the piece or the comment."""
     pairs = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])
-    category = F.try_element_at(pairs, F.col("rule"))
+    category = F.when(F.col("rule").startswith("marker:"), "marker_stale").otherwise(F.try_element_at(pairs, F.col("rule")))
     anchor = F.try_element_at(F.create_map(*[F.lit(x) for kv in CATEGORY_SEVERITY.items() for x in kv]), category)
+    anchor = F.coalesce("severity", anchor) if "severity" in rows.columns else anchor
     c = comments.select(F.col("id").alias("comment_id"), F.col("path").alias("file_path"), F.col("content_hash").alias("target_hash"), F.col("bound_symbol").alias("target_symbol"), F.col("span").alias("c_span"))
     span = F.when(F.col("start").isNull(), F.col("c_span")).otherwise(sub_span(F.col("c_span"), F.col("start"), F.col("length")))
     return rows.join(c, "comment_id").select(

@@ -170,10 +170,11 @@ SELECT finding_id, file_path, category, merged, {_MERGED} AS also_from FROM merg
     "ag_by_file": f"SELECT file_path, count(*) AS findings, max({_RANK})::INT AS worst, array_to_string(list_sort(list(DISTINCT canonical_rule_id) FILTER (canonical_rule_id IS NOT NULL)), ',') AS rules FROM findings GROUP BY file_path",
     "ag_run_states": f"""WITH {_LATEST}, s AS (SELECT provider, CASE WHEN findings_json IS NULL OR trim(findings_json) = '' THEN 'SKIPPED' WHEN NOT json_valid(findings_json) THEN 'PARTIAL' WHEN json_array_length(findings_json) > 0 THEN 'SUCCESS' ELSE 'EMPTY' END AS st FROM latest)
 SELECT provider, CASE WHEN bool_or(st = 'PARTIAL') THEN 'PARTIAL' WHEN bool_and(st = 'SKIPPED') THEN 'SKIPPED' WHEN bool_or(st = 'SUCCESS') THEN 'SUCCESS' ELSE 'EMPTY' END AS run_state FROM s GROUP BY provider""",
-    "ag_verdict": f"""WITH {_LATEST}, p AS (SELECT coalesce(bool_or(run_state = 'PARTIAL'), false) AS partial FROM latest WHERE run_state <> 'PARTIAL'), f AS (SELECT coalesce(bool_or({_RANK} >= 3), false) AS failed FROM findings)
+    "ag_verdict": f"""WITH {_LATEST}, p AS (SELECT coalesce(bool_or(run_state = 'PARTIAL'), false) AS partial FROM latest), f AS (SELECT coalesce(bool_or({_RANK} >= 3), false) AS failed FROM findings)
 SELECT CASE WHEN partial THEN 'degraded' WHEN failed THEN 'fail' ELSE 'pass' END AS verdict, CASE WHEN partial THEN 2 WHEN failed THEN 1 ELSE 0 END AS code FROM p, f""",
     "ag_exit_code": f"SELECT CASE WHEN (SELECT bool_or({_RANK} >= 3) FROM findings) OR (SELECT bool_or(list_contains(markers, 'DO_NOT_MERGE')) FROM comments) THEN 1 ELSE 0 END AS code",
-    "ag_set_hash": f"SELECT tree, sha256(string_agg(path || chr(0) || content_hash || chr(10), '' ORDER BY path || chr(0) || content_hash || chr(10))) AS set_hash FROM {_WALKED} WHERE content_hash IS NOT NULL GROUP BY tree",
+    "ag_set_hash": f"""WITH r AS (SELECT tree, sha256(path || chr(0) || content_hash || chr(10)) AS h FROM {_WALKED} WHERE content_hash IS NOT NULL), p AS (SELECT tree, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY tree, substr(h, 1, 3))
+SELECT tree, sha256(string_agg(h, '' ORDER BY h)) AS set_hash FROM p GROUP BY tree""",
     "wn_ordinals": "SELECT id, (row_number() OVER (PARTITION BY bound_symbol, kind, cosmetic_fingerprint ORDER BY string_split(path, '/'), span.start_byte, id) - 1)::INT AS ordinal FROM comments",
     "wn_page": "SELECT doc_id, n_chars, position, total, 60 AS cursor FROM (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id))::INT AS position, (count(*) OVER ())::INT AS total FROM documents) WHERE position BETWEEN 41 AND 60",
     "wn_budget_page": """WITH h AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id))::INT AS position, (count(*) OVER ())::INT AS total FROM documents), r AS (SELECT *, sum(n_chars) OVER (ORDER BY position) AS running FROM h WHERE position BETWEEN 11 AND 110)

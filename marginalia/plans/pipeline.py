@@ -5,15 +5,16 @@ Each is a lazy plan over tables; sinks run it. `Session` holds the tables of one
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import hash_embedding
-from marginalia.operators import edit, extract, findings, issues, providers, rank, rot, search, suppress
-from marginalia.schema import SUPPRESSED_KINDS, categories
+from marginalia.operators import edit, extract, findings, issues, providers, rank, rot, search, suppress, triage
+from marginalia.schema import NATIVE, SUPPRESSED_KINDS, categories
 from marginalia.sources import sinks
 
 
@@ -27,6 +28,7 @@ class Session:
     blame: DataFrame | None = None
     baseline: DataFrame | None = None
     external: DataFrame | None = None
+    vectors: DataFrame | None = None
 
 
 def scan(files: DataFrame, paths: DataFrame | None = None, blame: DataFrame | None = None, **more: DataFrame) -> Session:
@@ -36,12 +38,20 @@ def scan(files: DataFrame, paths: DataFrame | None = None, blame: DataFrame | No
     return Session(files, found, paths if paths is not None else files.select("path"), blame, **more)
 
 
-def native(session: Session) -> DataFrame:
-    """Findings of the engine's own detectors."""
-    defined = extract.definitions(session.files)
-    known = rot.symbols(session.comments, defined)
-    rows = rot.detect(session.comments, session.paths, known, session.blame, defined.where(F.col("params").isNotNull()))
-    return rot.as_findings(rows, session.comments)
+def native(session: Session, off: Collection[str] = (), severities: Mapping[str, str] = {}) -> DataFrame:  # noqa: B006
+    """Findings of the engine's own detectors, and of markers. off: detectors, or `markers`, that are switched off."""
+    rows = []
+    if set(rot.DETECTORS) - set(off):
+        defined = extract.definitions(session.files)
+        known = rot.symbols(session.comments, defined)
+        signatures = defined.where(F.col("params").isNotNull())
+        rows.append(rot.detect(session.comments, session.paths, known, session.blame, signatures, session.vectors, off).withColumn("severity", F.lit(None).cast("string")))
+    if "markers" not in off:
+        rows.append(triage.markers(session.comments, severities))
+    if session.blame is not None and "candidates" not in off:
+        rows.append(triage.older_than_code(session.comments, session.blame))
+    none = "comment_id BIGINT, rule STRING, message STRING, start BIGINT, length BIGINT, severity STRING"
+    return rot.as_findings(reduce(DataFrame.unionByName, rows) if rows else session.files.sparkSession.createDataFrame([], none), session.comments)
 
 
 def external(session: Session, documents: DataFrame, manifest: providers.Manifest) -> DataFrame:
@@ -58,13 +68,17 @@ def external(session: Session, documents: DataFrame, manifest: providers.Manifes
     return findings.attach(rows, session.comments)
 
 
-def check(session: Session, overrides: dict[str, str] | None = None, scoped: bool = True) -> DataFrame:
-    """All findings: native and external, with severities, overlaps of a comment merged, suppression flagged."""
+def check(session: Session, overrides: dict[str, str] | None = None, off: Collection[str] = (), severities: Mapping[str, str] = {}) -> DataFrame:  # noqa: B006
+    """All findings: native and external, with severities, overlaps of a comment merged, suppression flagged.
+
+    overrides: severities by rule, category or origin; severities: by marker. off: as in `native`.
+    """
     spark = session.files.sparkSession
-    rows = native(session)
+    by_marker = {f"{NATIVE}:{triage.RULE}{m}": s for m, s in severities.items()}
+    rows = native(session, off, severities)
     if session.external is not None:
         rows = rows.unionByName(session.external, allowMissingColumns=True)
-    rows = findings.resolve_severity(rows, categories(spark), overrides or {})
+    rows = findings.resolve_severity(rows, categories(spark), by_marker | (overrides or {}))
     merged = findings.merge_per_comment(rows).drop("merged")
     empty = spark.createDataFrame([], "bound_symbol STRING, fingerprint STRING, rule STRING")
     return suppress.suppress(merged, session.comments, session.baseline if session.baseline is not None else empty)
@@ -80,9 +94,9 @@ def summary(checked: DataFrame, comments: DataFrame) -> DataFrame:
     return n.join(f, "one").drop("one")
 
 
-def candidates(session: Session, limit: int = 20) -> DataFrame:
+def candidates(session: Session, limit: int = 20, off: Collection[str] = ()) -> DataFrame:
     """The engine's own findings, ranked."""
-    return rank.actionable(native(session), session.comments, limit)
+    return rank.actionable(native(session, off), session.comments, limit)
 
 
 def query(session: Session, text: str, limit: int = 20) -> DataFrame:
@@ -94,10 +108,11 @@ def query(session: Session, text: str, limit: int = 20) -> DataFrame:
     return top.join(shown.select("id", "path", F.col("span.start_line").alias("line"), "kind", F.trim(F.substring_index("raw_text", "\n", 1)).alias("summary")), "id").orderBy(F.desc("score"), "id")
 
 
-def context(session: Session, comment_id: int, checked: DataFrame, with_code: bool = False) -> DataFrame:
-    """One comment with its findings and, if asked, the code that it is about."""
-    one = session.comments.where(F.col("id") == comment_id)
-    found = checked.where(F.col("comment_id") == comment_id).groupBy("comment_id").agg(F.array_sort(F.collect_list(F.struct("provider_rule_id", "category", "severity", "message"))).alias("findings"))
+def context(session: Session, checked: DataFrame, comment_id: int | None = None, with_code: bool = False) -> DataFrame:
+    """One comment, or each, with its findings and, if asked, the code that it is about."""
+    this = F.lit(True) if comment_id is None else F.col("id") == comment_id
+    one = session.comments.where(this)
+    found = checked.where(F.lit(True) if comment_id is None else F.col("comment_id") == comment_id).groupBy("comment_id").agg(F.array_sort(F.collect_list(F.struct("provider_rule_id", "category", "severity", "message"))).alias("findings"))
     out = one.join(found.withColumnRenamed("comment_id", "id"), "id", "left")
     if with_code:
         code = F.decode(F.substring(F.encode("text", "UTF-8"), (F.col("bound_node_range.start_byte") + 1).cast("int"), (F.col("bound_node_range.end_byte") - F.col("bound_node_range.start_byte")).cast("int")), "UTF-8")
@@ -120,8 +135,9 @@ def recheck(edited: DataFrame, files: DataFrame, anchor: int) -> DataFrame:
     """Native findings, in the edited file, of the comment that covers a byte."""
     again = files.select("path", "language").join(edited.where("ok").select("path", F.col("new_text").alias("text")), "path")
     session = scan(again, files.select("path"))
+    # What is known of other files isn't there: only markers are looked for.
     here = session.comments.where((F.col("span.start_byte") <= anchor) & (F.lit(anchor) < F.col("span.end_byte"))).select(F.col("id").alias("comment_id"))
-    return native(session).join(here, "comment_id", "left_semi")
+    return native(session, rot.DETECTORS).join(here, "comment_id", "left_semi")
 
 
 def strip(session: Session, keep_kinds: Sequence[str] = (), allow_significant: bool = False, strip_license: bool = False, apply: bool = False) -> DataFrame:

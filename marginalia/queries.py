@@ -303,7 +303,7 @@ def ag_run_states(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ag_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    runs = providers.latest(table(spark, folder, "provider_results")).where("run_state <> 'PARTIAL'")
+    runs = providers.latest(table(spark, folder, "provider_results"))
     return findings.verdict(_findings(spark, folder), runs, "critical")
 
 

@@ -40,5 +40,5 @@ def counts_by_time(stream: DataFrame, at: str, width: str, lateness: str, by: li
     return grouped.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], state: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", state).trigger(availableNow=True).start()
+def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> StreamingQuery:
+    return stream.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", state).trigger(availableNow=True).start()
