@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from marginalia.errors import ProviderError
 from marginalia.functions.places import byte_offset
 from marginalia.functions.text import ESLINT_CATEGORY
 
@@ -38,7 +39,7 @@ def load_manifest(name: str, text: str) -> Manifest:
     """A manifest from TOML."""
     raw = tomllib.loads(text)
     if raw.get("manifest_version", 1) != 1:
-        raise ValueError(f"{name}: manifest version {raw['manifest_version']} is not known")
+        raise ProviderError(name, f"manifest version {raw['manifest_version']} is not known")
     f, c = raw["findings"][0], raw.get("capabilities", {})
     return Manifest(
         id=name, iterate=f.get("iterate", "$[*]"), rule=f["native_rule_id"], message=f["message"], file=f["file"], line=f["line"],

@@ -44,7 +44,7 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0, cost
     With a cost and a budget the page ends before the sum of costs exceeds the budget; its first row is always shown.
     Only the first offset + limit rows leave the tasks; the running sum is over these.
     """
-    total = rows.count()
+    counted = rows.agg(F.count("*").cast("int").alias("total")).withColumn("_one", F.lit(1))
     head = rows.orderBy(*order).limit(offset + limit)
     w = Window.orderBy(*order)
     out = head.withColumn("position", F.row_number().over(w)).where(F.col("position") > offset)
@@ -52,7 +52,9 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0, cost
         running = F.sum(cost).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn("running", running).where((F.col("position") == offset + 1) | (F.col("running") <= budget)).drop("running")
     last = F.max("position").over(Window.partitionBy())
-    return out.withColumn("total", F.lit(total)).withColumn("cursor", F.when(last < F.lit(total), last))
+    # The total is one row, joined when the page is read.
+    paged = out.withColumn("_last", last).withColumn("_one", F.lit(1)).join(F.broadcast(counted), "_one").drop("_one")
+    return paged.withColumn("cursor", F.when(F.col("_last") < F.col("total"), F.col("_last"))).drop("_last")
 
 
 def fuse(lists: list[DataFrame], limit: int, constant: int = 60) -> DataFrame:

@@ -89,6 +89,9 @@ SELECT doc_id, CASE WHEN length(r) >= 2 THEN before + strlen(substr(r, 1, 2)) EN
     "sc_jsonl": "SELECT id, path, kind, bound_symbol, sha256(raw_text) AS hash, span.end_byte AS end_byte, array_to_string(coalesce(markers, []), ',') AS markers, git.commit_id AS commit FROM comments",
     "sc_blame": """SELECT path, c.span.start_line AS line, substr(sha256(c.git.commit_id), 1, 40) AS commit_id, coalesce(c.git.author, '') AS author, coalesce(c.git.email, '') AS email, coalesce(c.git.committed_unix, 0) AS committed_unix
 FROM (SELECT path, arg_min(c, id) AS c FROM comments c WHERE git.commit_id IS NOT NULL AND path IS NOT NULL GROUP BY path, span.start_line)""",
+    "sc_baseline": f"WITH {_KEYS} SELECT bound_symbol, fingerprint, rule, 'known' AS reason, '2025-10-01' AS date FROM accepted",
+    "sc_ledger": """SELECT DISTINCT token, sha256(token) AS id, CASE WHEN length(token) % 3 = 0 THEN 'https://issues.invalid/?q="' || token || '"' END AS url, length(token) % 2 = 0 AS closed
+FROM (SELECT coalesce(bound_symbol, '<none>') || '|' || kind || '|' || unnest(markers) AS token FROM comments)""",
     "sc_generated_walk": f"""SELECT path, language FROM (SELECT path, w.t AS text, {_FULL_LANGUAGE} AS language FROM {_W}) WHERE language IS NOT NULL AND NOT regexp_matches(path, '(^|/)\\.[^/]') AND NOT regexp_matches(path, '(^|/)(node_modules|vendor)/.*') AND NOT regexp_matches(path, '(^|/)[^/]*\\.min\\.js(/|$)')
   AND NOT coalesce({_head(GENERATED)} OR strlen(string_split(text, chr(10))[1]) > 2000, false)""",
     "sc_skipped": f"SELECT path, 'not UTF-8' AS reason FROM {_W} WHERE w.t IS NULL",

@@ -108,8 +108,8 @@ def query(session: Session, text: str, limit: int = 20) -> DataFrame:
     return top.join(shown.select("id", "path", F.col("span.start_line").alias("line"), "kind", F.trim(F.substring_index("raw_text", "\n", 1)).alias("summary")), "id").orderBy(F.desc("score"), "id")
 
 
-def context(session: Session, checked: DataFrame, comment_id: int | None = None, with_code: bool = False) -> DataFrame:
-    """One comment, or each, with its findings and, if asked, the code that it is about."""
+def context(session: Session, comment_id: int | None, checked: DataFrame, with_code: bool = False) -> DataFrame:
+    """One comment, or each if none is named, with its findings and, if asked, the code that it is about."""
     this = F.lit(True) if comment_id is None else F.col("id") == comment_id
     one = session.comments.where(this)
     found = checked.where(F.lit(True) if comment_id is None else F.col("comment_id") == comment_id).groupBy("comment_id").agg(F.array_sort(F.collect_list(F.struct("provider_rule_id", "category", "severity", "message"))).alias("findings"))

@@ -36,8 +36,11 @@ def _findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _walked(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """The columns of walked_files with one row for each path, the latest; only the columns asked for are read."""
-    return files.latest(table(spark, folder, "walked_files", *dict.fromkeys(["path", "walked_at", *columns]))).drop("walked_at")
+    """The columns of walked_files with one row for each path, the latest; only the columns asked for are read.
+
+    Texts are asked for where work per row is heavy, so a small table is dealt out to all cores.
+    """
+    return files.latest(table(spark, folder, "walked_files", *dict.fromkeys(["path", "walked_at", *columns]), spread="text" in columns)).drop("walked_at")
 
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:

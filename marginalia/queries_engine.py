@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
 from marginalia.functions.places import byte_offset, sub_span
-from marginalia.operators import classify, edit, extract, findings, identity, providers, rank, revisions, rot, search, suppress, triage
+from marginalia.operators import classify, edit, extract, findings, identity, issues, providers, rank, revisions, rot, search, suppress, triage
 from marginalia.operators.classify import DIRECTIVE_WORD
 from marginalia.plans import pipeline
 from marginalia.plans.lineage import shared_folder
@@ -115,6 +115,24 @@ def sc_blame(spark: SparkSession, folder: str) -> DataFrame:
     return records.parse_blame(dumps)
 
 
+@query
+def sc_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """The baseline up to October 2025 written as TOML and read back."""
+    out = _folder(spark)
+    sinks.write_baseline(_accepted(spark, folder), out)
+    return records.read_baseline(spark, out)
+
+
+@query
+def sc_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """An issue ledger of all markers written as TOML and read back."""
+    out = _folder(spark)
+    tokens = issues.marker_tokens(_comments(spark, folder)).select("token").distinct()
+    url = F.when(F.length("token") % 3 == 0, F.concat(F.lit("https://issues.invalid/?q=\""), "token", F.lit("\"")))
+    sinks.write_ledger(tokens.select("token", F.sha2("token", 256).alias("id"), url.alias("url"), (F.length("token") % 2 == 0).alias("closed")), out)
+    return records.read_ledger(spark, out)
+
+
 @query
 def sc_generated_walk(spark: SparkSession, folder: str) -> DataFrame:
     """The source files to look at: not ignored, not hidden, of a known language, not generated."""
@@ -471,7 +489,7 @@ def ck_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def cx_context(spark: SparkSession, folder: str) -> DataFrame:
     """The verb context, for every comment: its findings and the length of the code that it is about."""
     session = _session(spark, folder)
-    rows = pipeline.context(session, _findings(spark, folder), with_code=True)
+    rows = pipeline.context(session, None, _findings(spark, folder), with_code=True)
     named = F.array_join(F.transform(F.coalesce("findings", F.array().cast("array<struct<provider_rule_id:string,category:string,severity:string,message:string>>")), lambda f: f["provider_rule_id"]), ",")
     return rows.select("id", named.alias("rules"), F.octet_length("code").alias("code_bytes"))
 

@@ -82,27 +82,44 @@ def hidden(path: Column) -> Column:
 def tree(spark: SparkSession, root: str) -> DataFrame:
     """path, text of every file below a folder that all executors see; text is null where the bytes are no UTF-8.
 
-    The folder's entries are dealt out, and each task walks and reads below its own. (The built-in file reader passes
-    over names that begin with a dot or an underscore, `__init__.py` among them.)
+    Folders are listed level by level, each level's by as many tasks as there are; a task lists a folder whole once it is
+    one of many. The paths found are dealt out anew before anything is read, so that a tree with one large folder is
+    read by all cores. (The built-in file reader passes over names that begin with a dot or an underscore, `__init__.py`
+    among them.)
     """
     base = root.removeprefix("file://").rstrip("/")
-    entries = spark.createDataFrame([(e,) for e in sorted(os.listdir(base))], "entry STRING")
+    cores = spark.sparkContext.defaultParallelism
+    folders, found = [""], []
+    # The levels at the top are few; when there are folders enough for all cores, tasks walk the rest.
+    while folders and len(folders) < 4 * cores:
+        below = []
+        for folder in folders:
+            with os.scandir(os.path.join(base, folder)) as entries:
+                for entry in entries:
+                    name = f"{folder}/{entry.name}" if folder else entry.name
+                    (below if entry.is_dir(follow_symlinks=False) else found).append(name)
+        folders = sorted(below)
+
+    def below_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                for top, _, names in os.walk(os.path.join(base, folder)):
+                    yield pd.DataFrame({"path": [os.path.relpath(os.path.join(top, n), base).replace(os.sep, "/") for n in names]}, dtype=object)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for entry in batch["entry"]:
-                top = os.path.join(base, entry)
-                found = [top] if os.path.isfile(top) else (os.path.join(d, f) for d, _, names in os.walk(top) for f in sorted(names))
-                for file in found:
-                    with open(file, "rb") as content:
-                        data = content.read()
-                    try:
-                        text = data.decode("utf-8")
-                    except UnicodeDecodeError:
-                        text = None
-                    yield pd.DataFrame({"path": [os.path.relpath(file, base).replace(os.sep, "/")], "text": [text]})
-
-    return entries.repartition(max(1, min(200, spark.sparkContext.defaultParallelism * 4)), "entry").mapInPandas(run, "path STRING, text STRING")
+            for path in batch["path"]:
+                with open(os.path.join(base, path), "rb") as content:
+                    data = content.read()
+                try:
+                    text = data.decode("utf-8")
+                except UnicodeDecodeError:
+                    text = None
+                yield pd.DataFrame({"path": [path], "text": [text]})
+
+    paths = spark.createDataFrame([(p,) for p in sorted(found)], "path STRING")
+    deep = spark.createDataFrame([(f,) for f in folders], "folder STRING").repartition(max(1, len(folders)), "folder").mapInPandas(below_of, "path STRING")
+    return paths.unionByName(deep).repartition(4 * cores, "path").mapInPandas(read, "path STRING, text STRING")
 
 
 def latest(files: DataFrame, at: str = "walked_at") -> DataFrame:

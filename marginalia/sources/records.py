@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tomllib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.errors import ConfigError, StorageError
 from marginalia.schema import COMMENTS
 
 JSONL_VERSION = 1
@@ -21,40 +22,69 @@ LEDGER = "token STRING, id STRING, url STRING, closed BOOLEAN"
 BLAME = "path STRING, line INT, commit_id STRING, author STRING, email STRING, committed_unix BIGINT"
 
 
-class VersionError(ValueError):
+class VersionError(StorageError, ValueError):
     """A file of a schema version that can't be read."""
 
 
 def read_jsonl(spark: SparkSession, path: str, version: int = JSONL_VERSION) -> DataFrame:
-    """Comments from JSON lines: a header with schema_version, then one comment a line. An empty file is an error."""
+    """Comments from JSON lines: a header with schema_version, then one comment a line. An empty file is an error.
+
+    The header is the only line that has no comment's id; it is looked for in all files, as one file of several has it.
+    """
     lines = spark.read.text(path)
-    header = lines.where(F.col("value").contains('"schema_version"')).limit(1).collect()
-    if not header:
+    is_header = F.get_json_object("value", "$.schema_version").isNotNull() & F.get_json_object("value", "$.id").isNull()
+    found = lines.where(F.col("value").contains('"schema_version"') & is_header).agg(F.max(F.get_json_object("value", "$.schema_version").cast("int"))).first()[0]
+    if found is None:
         raise VersionError(f"{path}: no header")
-    if json.loads(header[0].value)["schema_version"] > version:
+    if found > version:
         raise VersionError(f"{path}: written by a newer version")
-    rows = lines.where(~F.get_json_object("value", "$.schema_version").isNotNull())
-    return rows.select(F.from_json("value", COMMENTS).alias("c")).select("c.*")
+    return lines.where(~is_header).select(F.from_json("value", COMMENTS).alias("c")).select("c.*")
 
 
 def _toml(path: str, version: int) -> dict[str, Any]:
     file = Path(path)
-    raw = tomllib.loads(file.read_text()) if file.exists() else {}
+    try:
+        raw = tomllib.loads(file.read_text()) if file.exists() else {}
+    except tomllib.TOMLDecodeError as error:
+        raise ConfigError(f"{path}: {error}") from error
     if raw.get("version", version) > version:
         raise VersionError(f"{path}: version {raw['version']} is newer than {version}")
     return raw
 
 
+def _tables(spark: SparkSession, path: str, version: int, schema: str, rows_of: Callable[[dict[str, Any]], list[tuple]]) -> DataFrame:
+    """Rows of the tables of a TOML file, or of its parts below a folder; each table is parsed by itself, in a task.
+
+    A missing file has no rows. Strings of several lines may not have one that begins with a bracket.
+    """
+    try:
+        chunks = spark.read.option("lineSep", "\n[").text(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    # Lines that begin with a bracket begin a table; splitting there takes the bracket away.
+    cut_off = F.col("value").rlike(r"\A\[\w+\]\]") | ~F.col("value").rlike(r"\A(?:\[|\s*\z|#|\w+\s*=)")
+    text = F.when(cut_off, F.concat(F.lit("["), "value")).otherwise(F.col("value"))
+    stated = chunks.agg(F.max(F.regexp_extract("value", r"(?m)\Aversion\s*=\s*(\d+)", 1).try_cast("int"))).first()[0]
+    if stated is not None and stated > version:
+        raise VersionError(f"{path}: version {stated} is newer than {version}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            yield pd.DataFrame([r for t in batch["value"] for r in rows_of(tomllib.loads(t))], columns=columns)
+
+    return chunks.select(text.alias("value")).mapInPandas(run, schema)
+
+
 def read_baseline(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """BASELINE from TOML; a missing file is an empty baseline."""
-    rows = [(e.get("bound_symbol"), e["fingerprint"], e["rule"], e.get("reason"), e.get("date")) for e in _toml(path, version).get("entries", [])]
-    return spark.createDataFrame(rows, BASELINE)
+    """BASELINE from TOML, a file or a folder of parts; a missing one is an empty baseline."""
+    fields = ("bound_symbol", "fingerprint", "rule", "reason", "date")
+    return _tables(spark, path, version, BASELINE, lambda raw: [tuple(e.get(f) for f in fields) for e in raw.get("entries", [])])
 
 
 def read_ledger(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """LEDGER from TOML; a missing file is an empty ledger."""
-    rows = [(t, e["id"], e.get("url"), bool(e.get("closed", False))) for t, e in _toml(path, version).get("issues", {}).items()]
-    return spark.createDataFrame(rows, LEDGER)
+    """LEDGER from TOML, a file or a folder of parts; a missing one is an empty ledger."""
+    return _tables(spark, path, version, LEDGER, lambda raw: [(t, e["id"], e.get("url"), bool(e.get("closed", False))) for t, e in raw.get("issues", {}).items()])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import csv_field, markdown_cell, sarif_level, tokens
@@ -42,15 +42,20 @@ def markdown_rows(findings: DataFrame) -> DataFrame:
     return findings.select("finding_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """finding_id, value: the SARIF result of each finding as JSON."""
+def sarif_result() -> Column:
+    """The SARIF result of a finding as JSON."""
     region = F.struct(F.col("span.start_line").alias("startLine"), F.col("span.end_line").alias("endLine"))
     place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(
         F.col("provider_rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"),
         F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"),
     )
-    return findings.select("finding_id", F.to_json(result).alias("value"))
+    return F.to_json(result)
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """finding_id, value: the SARIF result of each finding as JSON."""
+    return findings.select("finding_id", sarif_result().alias("value"))
 
 
 def rule_descriptors(findings: DataFrame) -> DataFrame:
@@ -64,8 +69,8 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     rules = [{"id": r.provider_rule_id} for r in rule_descriptors(findings).collect()]
     head = '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"marginalia","rules":' + json.dumps(rules) + '}},"results":['
     spark = findings.sparkSession
-    order = findings.select(F.struct("file_path", F.col("span.start_line").alias("l"), F.col("span.start_byte").alias("b"), "provider_rule_id", "finding_id").alias("o"), "finding_id")
-    rows = sarif_results(findings).join(order, "finding_id").select(F.lit(1).alias("part"), "o", "value")
+    order = F.struct("file_path", F.col("span.start_line").alias("l"), F.col("span.start_byte").alias("b"), "provider_rule_id", "finding_id")
+    rows = findings.select(F.lit(1).alias("part"), order.alias("o"), sarif_result().alias("value"))
     first = rows.agg(F.min("o")).first()[0]
     comma = F.when(F.col("o") == F.lit(None) if first is None else F.col("o.finding_id") == F.lit(first["finding_id"]), "").otherwise(",")
     body = rows.select("part", "o", F.concat(comma, "value").alias("value"))
@@ -85,30 +90,37 @@ def report_totals(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("findings"), F.countDistinct("file_path").alias("files"), F.max(severity_rank(F.col("severity"))).alias("worst"))
 
 
-def _toml_text(value: str | None) -> str:
-    return json.dumps(value, ensure_ascii=False)
+def _entry(head: Column, fields: list[tuple[str, Column]]) -> Column:
+    """A TOML table: its head, and a line for each field that isn't null."""
+    lines = [F.concat(F.lit(f"{name} = "), value) for name, value in fields]
+    return F.concat(F.lit("\n"), head, F.lit("\n"), F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n"))
+
+
+def _quoted(column: str) -> Column:
+    """A string as TOML has it, which JSON has as well; null stays null."""
+    return F.when(F.col(column).isNotNull(), F.regexp_extract(F.to_json(F.struct(F.col(column).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
+
+
+def _write_toml(rows: DataFrame, order: list[Column], path: str) -> None:
+    """`value` of rows in order, as text parts that make one TOML file together; ranges of the order, so that no task sorts all."""
+    spark = rows.sparkSession
+    placed = rows.select(F.lit(1).alias("part"), F.struct(*order).alias("o"), "value")
+    head = spark.createDataFrame([(0, "version = 1")], "part INT, value STRING").select("part", F.lit(None).cast(placed.schema["o"].dataType).alias("o"), "value")
+    head.unionByName(placed).sort("part", "o").select("value").write.mode("overwrite").text(path)
 
 
 def write_baseline(baseline: DataFrame, path: str) -> None:
-    """A baseline as TOML, in canonical order. It is a file that people review; rows come one partition at a time."""
-    order = [F.asc_nulls_first("bound_symbol"), "fingerprint", "rule"]
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("version = 1\n")
-        for row in baseline.distinct().orderBy(*order).toLocalIterator():
-            out.write("\n[[entries]]\n")
-            for key, value in row.asDict().items():
-                if value is not None:
-                    out.write(f"{key} = {_toml_text(value)}\n")
+    """A baseline as TOML below the folder `path`, in canonical order, null symbols first."""
+    names = [c for c in ("bound_symbol", "fingerprint", "rule", "reason", "date") if c in baseline.columns]
+    rows = baseline.distinct().withColumn("value", _entry(F.lit("[[entries]]"), [(c, _quoted(c)) for c in names]))
+    _write_toml(rows, [F.col(c) for c in ("bound_symbol", "fingerprint", "rule")], path)
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("version = 1\n")
-        for row in ledger.orderBy("token").toLocalIterator():
-            out.write(f"\n[issues.{_toml_text(row.token)}]\nid = {_toml_text(row.id)}\n")
-            if row.url is not None:
-                out.write(f"url = {_toml_text(row.url)}\n")
-            out.write(f"closed = {str(bool(row.closed)).lower()}\n")
+    """An issue ledger as TOML below the folder `path`, in order of tokens."""
+    fields = [("id", _quoted("id")), ("url", _quoted("url")), ("closed", F.when(F.col("closed"), "true").otherwise("false"))]
+    rows = ledger.withColumn("value", _entry(F.concat(F.lit("[issues."), _quoted("token"), F.lit("]")), fields))
+    _write_toml(rows, [F.col("token")], path)
 
 
 def persist_index(comments: DataFrame, findings: DataFrame, vectors: DataFrame, folder: str) -> None:

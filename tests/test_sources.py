@@ -26,9 +26,10 @@ def test_check(session):
     rows = pipeline.check(session).collect()
     assert {(r.file_path, r.canonical_rule_id, r.severity, r.suppressed_by) for r in rows} == {
         ("refs.py", "rot_ref", "warning", None), ("refs.py", "rot_signature", "error", None), ("a.js", "rot_ref", "warning", "directive"), ("s.sh", "rot_path", "warning", None),
+        ("refs.py", "marker:TODO", "warning", None),
     }
     one = pipeline.summary(pipeline.check(session), session.comments).first()
-    assert (one.findings, one.suppressed, one.unattached) == (3, 1, 0)
+    assert (one.findings, one.suppressed, one.unattached) == (4, 1, 0)
     assert [r.severity for r in pipeline.candidates(session, 1).collect()] == ["error"]
 
 
@@ -51,7 +52,7 @@ def test_sinks(spark, session, tmp_path):
     checked = pipeline.check(session)
     sinks.write_sarif(checked, f"{tmp_path}/sarif")
     log = json.loads("".join(p.read_text() for p in sorted((tmp_path / "sarif").glob("part*"))))
-    assert log["version"] == "2.1.0" and len(log["runs"][0]["results"]) == 4
+    assert log["version"] == "2.1.0" and len(log["runs"][0]["results"]) == 5
     base = pipeline.baseline_accept(checked, session.comments)
     full = base.withColumn("reason", F.lit('a "b"')).withColumn("date", F.lit(None).cast("string"))
     sinks.write_baseline(full, f"{tmp_path}/base.toml")
@@ -79,7 +80,7 @@ def test_report_and_placements(spark, session, tmp_path):
     from marginalia.operators import suppress
 
     assert suppress.placements(suppress.export_directives(checked), again).where("path = 's.sh'").count() == 0
-    assert pipeline.known_providers(spark).count() == 3
+    assert pipeline.known_providers(spark).count() == 4
 
 
 def test_sql_functions_and_embedder(spark, session):
