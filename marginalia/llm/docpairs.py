@@ -13,6 +13,7 @@ those named are ignored; empty tables give empty results.
 from __future__ import annotations
 
 import ast
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -178,6 +179,8 @@ _JS_METHOD = re.compile(
     r"(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*(?P<name>[#\w$]+)\s*(?:<[^>(]*>)?\s*\("
 )
 _JS_VALUE = re.compile(r"(?:async\s+)?(?:function\b|[\w$]+\s*=>|(?:<[^>(]*>)?\()")
+_JS_GAP = re.compile(r"[ \t]*\r?\n[ \t]*")
+_JS_ARROW = re.compile(r"\s*(?::[^={};]+)?=>")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "super", "with"}
 
 
@@ -200,7 +203,7 @@ def script_definition(text: str, at: int, owner: str) -> str | None:
     if m := _JS_FUNCTION.match(text, at):
         return m["name"]
     if (m := _JS_CONST.match(text, at)) and (v := _JS_VALUE.match(text, m.start("value"))):
-        if v[0].endswith("(") and not re.match(r"\s*(?::[^={};]+)?=>", text[_closed(text, v.end() - 1) :][:400]):
+        if v[0].endswith("(") and not _JS_ARROW.match(text, _closed(text, v.end() - 1)):
             return None
         return m["name"]
     return None
@@ -208,30 +211,29 @@ def script_definition(text: str, at: int, owner: str) -> str | None:
 
 def script_functions(text: str) -> Iterator[Found]:
     """Functions and methods of TypeScript or JavaScript with a documentation comment on the lines before them."""
-    blocks: list[list] = []  # open blocks: the class they belong to, and the pairs that end with them
+    blocks: list[tuple[str, int]] = []  # open blocks: the class they are the body of, and their number among the brackets
+    starts: list[int] = []  # of all brackets, and where what they open or close ends
+    ends: list[int] = []
+    found: list[tuple[str, int, int, int]] = []
     for m in _JS.finditer(text):
         if m["class"] is not None or m["open"]:
-            blocks.append([m["class"] or "", None])
+            blocks.append((m["class"] or "", len(starts)))
+            starts.append(m.start())
+            ends.append(len(text))
         elif m["close"]:
+            starts.append(m.start())
+            ends.append(m.end())
             if blocks:
-                blocks.pop()
+                ends[blocks.pop()[1]] = m.end()
         elif m["doc"]:
-            gap = re.compile(r"[ \t]*\r?\n[ \t]*").match(text, m.end())
+            gap = _JS_GAP.match(text, m.end())
             owner = blocks[-1][0] if blocks else ""
             if gap and (symbol := script_definition(text, gap.end(), owner)):
-                yield Found(symbol, m.start(), m.end(), gap.end(), _end_of_block(text, gap.end()))
-
-
-def _end_of_block(text: str, at: int) -> int:
-    depth = 0
-    for m in _JS.finditer(text, at):
-        if m["open"] or m["class"] is not None:
-            depth += 1
-        elif m["close"]:
-            depth -= 1
-            if depth <= 0:
-                return m.end()
-    return len(text)
+                found.append((symbol, m.start(), m.end(), gap.end()))
+    for symbol, doc_start, doc_end, start in found:
+        # The code ends with the first block that begins behind the documentation, or the one around it.
+        i = bisect.bisect_left(starts, start)
+        yield Found(symbol, doc_start, doc_end, start, ends[i] if i < len(ends) else len(text))
 
 
 _SH_DEFINITION = re.compile(r"[ \t]*(?:function[ \t]+(?P<a>[\w:.-]+)[ \t]*(?:\([ \t]*\))?|(?P<b>[\w:.-]+)[ \t]*\([ \t]*\))[ \t]*(?:[{(]|$)")
