@@ -3,9 +3,10 @@
 Two comments are copies if their letters and digits are the same in the same order, ignoring case. A comment made of
 two or more `name=value` / `name: value` fields only is compared by its set of fields, in any order.
 
-The ledger holds one row per canonical key: bucket, key, copies, keep_id. A batch is aggregated by key first (partial
-aggregation runs before the shuffle, so a key that holds a third of the rows costs one row per task), then joined with
-the buckets it touches by a full outer join; counts add up and the smallest id stays the representative.
+The ledger holds one row per canonical key: bucket, key, copies, keep_id, and is stored as a table partitioned by bucket.
+A batch is aggregated by key first (partial aggregation runs before the shuffle, so a key that holds a third of the rows
+costs one row per task), then joined with the buckets it touches by a full outer join; counts add up, the smallest id
+stays the representative, and these buckets are written anew, the others left alone.
 
 Defined results: rows without id or text, and texts with fewer than `min_chars` letters and digits, take no part; a
 row repeated with the same id counts once within a batch; empty tables give empty results; other columns are ignored.
@@ -13,15 +14,18 @@ row repeated with the same id counts once within a batch; empty tables give empt
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.plans.lineage import cut
+from marginalia.plans.lineage import cut, shared_folder
 
 MIN_CHARS = 24
 BUCKETS = 64
+#: Files that a bucket is written in.
+FILES = 4
 LEDGER = "bucket INT, key BINARY, copies BIGINT, keep_id BIGINT"
 #: A key is hot if it holds more than this share of the rows: there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.002
@@ -74,14 +78,9 @@ def count_batch(batch: DataFrame) -> DataFrame:
     return batch.groupBy("bucket", "key").agg(F.count("*").alias("copies"), F.min("id").alias("keep_id"))
 
 
-def merge(ledger: DataFrame, batch: DataFrame) -> DataFrame:
-    """`ledger` with the counts of `batch` (keyed rows) added.
-
-    The join carries the bucket, so that a ledger stored by bucket is read only where the batch has keys.
-    """
-    new = count_batch(batch).select(
-        "bucket", "key", F.col("copies").alias("new_copies"), F.col("keep_id").alias("new_keep")
-    )
+def merge(ledger: DataFrame, counted: DataFrame) -> DataFrame:
+    """`ledger` with the counts of a batch (as `count_batch` makes them) added."""
+    new = counted.select("bucket", "key", F.col("copies").alias("new_copies"), F.col("keep_id").alias("new_keep"))
     return ledger.join(new, ["bucket", "key"], "full_outer").select(
         "bucket",
         "key",
@@ -90,12 +89,29 @@ def merge(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def build_ledger(batches: Sequence[DataFrame]) -> DataFrame:
-    """The ledger after all `batches` of keyed rows, in their order."""
-    ledger = count_batch(batches[0])
-    for batch in batches[1:]:
-        ledger = merge(ledger, batch)
-    return ledger
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger that is stored below a folder, partitioned by bucket; empty if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], LEDGER)
+
+
+def update(folder: str, batch: DataFrame) -> None:
+    """Add a batch of `keyed` rows to the ledger stored below a folder.
+
+    Only the buckets that the batch has keys in are read and written anew; the numbers of these, at most as many as there
+    are buckets, are all that comes to the driver. A batch that is added twice counts twice.
+    """
+    counted = cut(count_batch(batch))
+    touched = [r.bucket for r in counted.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    old = stored(batch.sparkSession, folder).where(F.col("bucket").isin(touched))
+    # What is read is overwritten, so it is kept first.
+    merged = cut(merge(old, counted))
+    dealt = merged.repartition("bucket", F.pmod(F.xxhash64("key", "bucket"), F.lit(FILES)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
 
 
 def membership(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -136,16 +152,23 @@ def _rows(comments: DataFrame, increments: int, **settings: int) -> DataFrame:
     return cut(keyed(slices, carry=("slice",), **settings).dropDuplicates(["id", "key"]))
 
 
-def _ledger(rows: DataFrame, increments: int) -> DataFrame:
-    return build_ledger([rows.where(F.col("slice") == i) for i in range(increments)])
+def _ledger(rows: DataFrame, increments: int, folder: str | None) -> DataFrame:
+    """The ledger after the deliveries of each time slice were added to it, one after the other."""
+    folder = folder or f"{shared_folder(rows.sparkSession)}/ledger-{uuid4().hex}"
+    for i in range(increments):
+        update(folder, rows.where(F.col("slice") == i))
+    return stored(rows.sparkSession, folder)
 
 
-def distinct_comments(comments: DataFrame, increments: int = 3, **settings: int) -> DataFrame:
+def distinct_comments(comments: DataFrame, increments: int = 3, folder: str | None = None, **settings: int) -> DataFrame:
     """keep_id, copies: one row per distinct comment."""
-    return _ledger(_rows(comments, increments, **settings), increments).select("keep_id", "copies")
+    return _ledger(_rows(comments, increments, **settings), increments, folder).select("keep_id", "copies")
 
 
-def copies(comments: DataFrame, increments: int = 3, **settings: int) -> DataFrame:
-    """keep_id, copy_id over `comments`, whose deliveries are folded into the ledger in `increments` time slices."""
+def copies(comments: DataFrame, increments: int = 3, folder: str | None = None, **settings: int) -> DataFrame:
+    """keep_id, copy_id over `comments`, whose deliveries are folded into a stored ledger in `increments` time slices.
+
+    folder: where the ledger is stored; a new one in the shared folder if it is left out.
+    """
     rows = _rows(comments, increments, **settings)
-    return membership(rows, _ledger(rows, increments))
+    return membership(rows, _ledger(rows, increments, folder))

@@ -239,6 +239,22 @@ def test_copies(spark):
     assert copies.copies(df.limit(0)).count() == 0
 
 
+def test_untouched_buckets_stay(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    rows = spark.range(300).selectExpr("id", "concat('# an own comment with number ', id % 250, ' in it') AS raw_text")
+    keyed = copies.keyed(rows)
+    copies.update(folder, keyed.where("id < 200"))
+    files = lambda: {p.relative_to(folder).as_posix(): p.stat().st_mtime_ns for p in (tmp_path / "ledger").rglob("*.parquet")}
+    before = files()
+    copies.update(folder, keyed.where("id = 7"))
+    copies.update(folder, keyed.limit(0))
+    kept = [k for k in before if k in files()]
+    assert len({k.split("/")[0] for k in before} - {k.split("/")[0] for k in kept}) == 1  # only the bucket of the one key was written
+    copies.update(folder, keyed.where("id >= 200"))
+    ledger = copies.stored(spark, folder).collect()
+    assert len(ledger) == 250 and sum(r.copies for r in ledger) == 301 and min(r.keep_id for r in ledger if r.copies == 2) == 0
+
+
 def test_hot_keys_are_spread(spark):
     df = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN '# the very same comment over and over' ELSE concat('# an own comment with number ', id, ' in it') END AS raw_text", "timestamp '2025-01-01' AS scanned_at")
     out = copies.copies(df)
