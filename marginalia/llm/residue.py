@@ -21,6 +21,7 @@ import bisect
 import http
 import re
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.words import MEMORY
+from marginalia.llm.words import MEMORY, slices
 from marginalia.plans.lineage import cut
 
 BUCKETS = 1 << 17
@@ -93,40 +94,82 @@ SEEDS: dict[str, tuple[tuple[str, ...], str]] = {
     "field": (("{", "%%", "<", "["), rf"(?=[^`\"=;]*{_FIELD})[^`\"=;]*"),
 }
 
+# Tokens leave nothing of a text out, so that their lengths give their places: words, ends, quotes and placeholders, numbers and
+# signs, each but an end with a blank after it; and gaps, which say nothing. Words are tried first, and by their ASCII letters, as
+# most tokens are such words. A stop is an end if a blank follows, else a gap: _gaps.
 _TOKEN = re.compile(
-    r"""\n | [.!?]+(?=\s|$) | `[^`\n]+` | "[^"\n]*" | «[^»\n]*» | „[^“\n]*“ | “[^”\n]*”
-      | \$\{[^}\n]{1,40}\} | \{\{[^}\n]{1,40}\}\} | \{%[^%\n]{1,40}%\} | %%[\w.]{1,40}%% | <%[^%\n]{1,40}%> | <[A-Za-z/!][^<>\n]{0,60}> | \[[^\]\n]{1,60}\]
-      | [^\W\d_]+ | \d+ | [^\w\s.!?]""",
+    r"""[A-Za-z]+[^\W\d_]*\ ? | \n | [.!?]+(?=\s|$)
+      | (?: `[^`\n]+` | "[^"\n]*" | «[^»\n]*» | „[^“\n]*“ | “[^”\n]*”
+          | \$\{[^}\n]{1,40}\} | \{\{[^}\n]{1,40}\}\} | \{%[^%\n]{1,40}%\} | %%[\w.]{1,40}%% | <%[^%\n]{1,40}%> | <[A-Za-z/!][^<>\n]{0,60}> | \[[^\]\n]{1,60}\]
+          | [^\W\d_]+ | \d+ | [^\w\s.!?] )\ ?
+      | [^\S\n]+ | [.!?]+ | _+""",
     re.X,
 )
 _SPACES = re.compile("[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
-_ENDS = re.compile(r"\n|[.!?]+(?=\s|$)")
-#: A passage without any of these characters and words stands as text; the others are asked one by one.
-_SUSPECT = re.compile(r"[`\"“«„;{=(]+")
+#: A passage without any of these characters, and without these words at its start, stands as text; the others are asked one by one.
+_SUSPECT = re.compile(r"[`\"“«„;{=(]")
 _CODE = ("def", "const", "let", "var", "function", "return", "if", "for", "export", "import", "echo")
+_QUOTATION = re.compile(r"[\"“«„][^\"”»“\n]*\s[^\"”»“\n]*\s[^\"”»“\n]*[\"”»“]")
+_STATEMENT = re.compile(rf"(?:{'|'.join(_CODE)})\b")
+_ASSIGNS = re.compile(r"\w\s*\+?=\s*\S")
+_CALLS = re.compile(r"\w\(\w*\)")
 _END, _STOP, _QUOTED, _NUMBER = 0, 1, 2, 3
 #: Numbers of placeholder shapes, and the first number of words.
 _SHAPES, _WORDS = 4, 1028
 #: Added to the number of a word in capitals.
 _CAPITALS = 1 << 24
+#: Added to the numbers of tokens with a suspect character, of words that tell code, of tokens with a piece of a known form, of gaps,
+#: and of gaps that are blanks. Only marks are made of them; what is kept of a number is below _CAPITALS.
+_HAS_SUSPECT, _IS_CODE, _HAS_CUE, _GAP, _BLANK = 1 << 25, 1 << 26, 1 << 27, 1 << 28, 1 << 29
+#: Characters that are tokenized and marked together, and tokens whose passages are.
+_TOGETHER, _TOKENS_TOGETHER = 1_000_000, 300_000
 _TOKENS = "doc_id BIGINT, tokens BINARY, trusted BINARY, standing BINARY, places BINARY"
 # Numbers of a passage's place: by length, passages of the record, share of the record; then single traits.
 _BY_LENGTH, _BY_COUNT, _BY_SHARE, _HOLDS_FIELD, _HOLDS_QUOTE, _HOLDS_CAPITALS, _GOES_ON, _NO_TEXT, _NONE = 0, 8, 16, 24, 25, 26, 27, 28, 63
 _TRAITS = 8
 
 
+def _cues(seeds: Mapping[str, tuple[tuple[str, ...], str]]) -> dict[str, set[int]]:
+    """The forms that each piece of text may belong to; -1 is the filler paragraph."""
+    of: dict[str, set[int]] = {}
+    for i, (cues, _) in enumerate(seeds.values()):
+        for cue in cues:
+            of.setdefault(cue, set()).add(i)
+    for word in FILLER:
+        if len(word) >= 5:
+            of.setdefault(word, set()).add(-1)
+    return of
+
+
 class TokenIds(dict):
     """token -> number; the shape decides for quotes, numbers and placeholders."""
 
+    def __init__(self, seeds: Mapping[str, tuple[tuple[str, ...], str]] = SEEDS) -> None:
+        super().__init__()
+        # Letters in a row, and digits, stand in one token, which so tells of a cue. Not so if a cue is all gaps, or may go over the end of
+        # a passage: then any token may belong to it.
+        pieces = [[] if re.search(r"[\n.!?]", cue) else re.findall(r"[^\W\d_]+|\d+|[^\w\s]", cue) for cue in _cues(seeds)]
+        self.anywhere = not all(pieces)
+        self.pieces = ahocorasick.Automaton()
+        for piece in filter(None, pieces):
+            self.pieces.add_word(max(piece, key=len), True)
+        self.pieces.make_automaton()
+
     def __missing__(self, token: str) -> int:
         if len(self) > MEMORY:
             self.clear()
+        value = self[token] = self[token[:-1]] if token[-1] == " " and not token.isspace() else self._number(token)
+        return value
+
+    def _number(self, token: str) -> int:
         first = token[0]
         if first == "\n":
-            value = _END
-        elif first in ".!?":
-            value = _STOP
-        elif first in "`«„“" or first == '"' and token.count(" ") >= 2:
+            return _END
+        if first in ".!?":
+            return _STOP
+        if first == "_" or first.isspace():
+            return _GAP + _NUMBER + (0 if first == "_" else _BLANK)
+        if first in "`«„“" or first == '"' and token.count(" ") >= 2:
             value = _QUOTED
         elif first.isdigit():
             value = _NUMBER if not (len(token) == 3 and first in "45") else self._bucket("4xx")
@@ -134,8 +177,9 @@ class TokenIds(dict):
             value = _SHAPES + xxhash.xxh64_intdigest(re.sub(r"\w+", "w", token).encode("utf-8", "surrogatepass")) % (_WORDS - _SHAPES)
         else:
             value = self._bucket(token.lower()) + (_CAPITALS if len(token) > 3 and token.isupper() else 0)
-        self[token] = value
-        return value
+        value += _HAS_SUSPECT if _SUSPECT.search(token) else 0
+        value += _IS_CODE if token in _CODE else 0
+        return value + (_HAS_CUE if self.anywhere or next(self.pieces.iter(token.lower()), False) else 0)
 
     @staticmethod
     def _bucket(text: str) -> int:
@@ -145,24 +189,15 @@ class TokenIds(dict):
 def _standing(passage: str) -> bool:
     """Whether a passage can stand as text itself: not code, not a quotation or explanation of something else."""
     text = passage.strip()
-    if "`" in text or re.search(r"[\"“«„][^\"”»“\n]*\s[^\"”»“\n]*\s[^\"”»“\n]*[\"”»“]", text) and not text.startswith(("{", "<")):
+    marked = text.startswith(("{", "<"))
+    if "`" in text or not marked and _QUOTATION.search(text):
         return False
-    return not re.search(r"[;{]\s*$|^\s*(?:def|const|let|var|function|return|if|for|export|import|echo)\b|\w\s*\+?=\s*\S|\w\(\w*\)", text) or bool(
-        re.match(r"[{<]", text)
-    )
+    return bool(marked or not (text.endswith((";", "{")) or _STATEMENT.match(text) or "=" in text and _ASSIGNS.search(text) or "(" in text and _CALLS.search(text)))
 
 
 def _bounds(raw: str, words: list[str], ends: np.ndarray) -> list[int]:
-    """Where the passages of a text end: at the places of its tokens number `ends`, and at its end."""
-    out = [m.end() for m in _ENDS.finditer(raw)]
-    if len(out) != len(ends):
-        # Some stand inside quotes or placeholders.
-        out, at, find, last = [], 0, raw.find, set(ends.tolist())
-        for i, word in enumerate(words):
-            at = find(word, at) + len(word)
-            if i in last:
-                out.append(at)
-    return [*out, len(raw)]
+    """Where the passages of a text end: after its tokens number `ends`, and at its end."""
+    return [*np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))[ends].tolist(), len(raw)]
 
 
 class Known:
@@ -170,13 +205,7 @@ class Known:
 
     def __init__(self, seeds: Mapping[str, tuple[tuple[str, ...], str]] = SEEDS) -> None:
         self.forms = [re.compile(form, re.I | re.S | re.X) for _, form in seeds.values()]
-        of: dict[str, set[int]] = {}
-        for i, (cues, _) in enumerate(seeds.values()):
-            for cue in cues:
-                of.setdefault(cue, set()).add(i)
-        for word in FILLER:
-            if len(word) >= 5:
-                of.setdefault(word, set()).add(-1)
+        of = _cues(seeds)
         self.everywhere = {i for i, (cues, _) in enumerate(seeds.values()) if not cues}
         self.automaton = ahocorasick.Automaton()
         for cue, forms in of.items():
@@ -207,54 +236,81 @@ class Known:
         return any(self.forms[i].fullmatch(text) for i in forms if i >= 0)
 
 
-def _repeats(numbers: np.ndarray, ends: np.ndarray) -> set[int]:
-    """Passages in which a word stands five times in a row."""
-    same = (numbers[1:] == numbers[:-1]) & (numbers[1:] >= _WORDS)
-    if np.count_nonzero(same) < 4:
-        return set()
-    at = np.flatnonzero(same[3:] & same[2:-1] & same[1:-2] & same[:-3])
-    return set(np.searchsorted(ends, at).tolist())
-
-
-def _marks(raw: str, words: list[str], numbers: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
-    """For each passage of a text: whether it is trusted, and whether it stands as text."""
-    ends = np.flatnonzero((numbers & (_CAPITALS - 1)) <= _STOP)
-    trusted, stands = np.zeros(len(ends) + 1, np.uint8), np.ones(len(ends) + 1, np.uint8)
-    first = np.concatenate([[0], ends + 1])
-    filled = np.diff(np.concatenate([first, [len(numbers) + 1]])) > 1
-    bounds = _bounds(raw, words, ends)
-    passage = lambda i: raw[bounds[i - 1] if i else 0 : bounds[i]]
-    suspects = {i: forms for i, forms in known.suspects(raw, bounds, _repeats(numbers, ends)).items() if filled[i]}
-    least = TRUSTED_SHARE * np.count_nonzero(filled)
-    if suspects and len(suspects) >= least:
-        found = [i for i, forms in suspects.items() if known.is_known(passage(i), forms)]
-        # The record is trusted if most of its passages are known forms.
-        if len(found) >= least:
-            trusted[found] = 1
-    # Of these words only a passage's first tells code.
-    code = {i for i, at in enumerate(first.tolist()) if at < len(words) and words[at] in _CODE}
-    for i in code | {bisect.bisect_right(bounds, m.start()) for m in _SUSPECT.finditer(raw)}:
-        if i < len(bounds):
-            stands[i] = _standing(passage(i))
-    return trusted, stands
-
-
 def _starts(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
 
 
-def _passage_of(tokens: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The passage of each token of a batch; lengths: tokens of each text, counts: its passages."""
+def _passage_of(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The passage of each token of a batch; lengths: tokens of each text. A text has a passage more than ends."""
     ends = tokens <= _STOP
-    before = np.cumsum(ends) - ends
-    at_start = np.concatenate([[0], np.cumsum(ends)])[_starts(lengths)]
-    return before - np.repeat(at_start, lengths) + np.repeat(_starts(counts), lengths)
+    return np.cumsum(ends) - ends + np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _gaps(numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The tokens that say nothing: blanks, underscores, and stops inside of something. lengths: tokens of each text."""
+    plain, blank = numbers & (_CAPITALS - 1), (numbers & _BLANK) > 0
+    before_blank = np.zeros(len(numbers), bool)
+    before_blank[:-1] = blank[1:] | (plain[1:] == _END)
+    before_blank[np.cumsum(lengths)[lengths > 0] - 1] = True
+    return (numbers & _GAP > 0) | (plain == _STOP) & ~before_blank
+
+
+def _repeats(numbers: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """Passages in which a word stands five times in a row."""
+    same = (numbers[1:] == numbers[:-1]) & (numbers[1:] & (_CAPITALS - 1) >= _WORDS)
+    return passage[np.flatnonzero(same[3:] & same[2:-1] & same[1:-2] & same[:-3])]
+
+
+def _marks(raw: str, words: list[str], numbers: np.ndarray, known: Known, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage of texts: whether it is trusted, and whether it stands as text.
+
+    raw, words, numbers: of one text, or of texts one after the other, with lengths the tokens of each.
+    """
+    lengths = np.array([len(words)]) if lengths is None else lengths
+    kept = np.flatnonzero(~_gaps(numbers, lengths))
+    ends = kept[numbers[kept] & (_CAPITALS - 1) <= _STOP]
+    lasts = np.cumsum(lengths)
+    counts = np.bincount(np.searchsorted(lasts, ends, "right"), minlength=len(lengths)) + 1
+    text, first = np.repeat(np.arange(len(counts)), counts), _starts(counts)
+    # Passage i holds the tokens, and the characters, from borders i to i + 1.
+    borders = np.concatenate([[0], np.sort(np.concatenate([ends + 1, lasts]))])
+    bounds = [0, *_bounds(raw, words, borders[1:-1] - 1)]
+    passage = lambda i: raw[bounds[i] : bounds[i + 1]]
+    trusted, stands = np.zeros(len(text), np.uint8), np.ones(len(text), np.uint8)
+    own, numbers = np.searchsorted(borders[1:], kept, "right"), numbers[kept]
+    flags = lambda flag: own[numbers & flag > 0]
+
+    filled = np.bincount(own[numbers & (_CAPITALS - 1) > _STOP], minlength=len(text)) > 0
+    least = TRUSTED_SHARE * np.bincount(text[filled], minlength=len(counts))
+    maybe, repeats = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    repeats[_repeats(numbers, own)] = True
+    maybe[flags(_HAS_CUE)] = True
+    number = np.bincount(text[(maybe | repeats) & filled], minlength=len(counts))
+    # A record is trusted if most of its passages are known forms.
+    for t in np.flatnonzero((number > 0) & (number >= least)).tolist():
+        a, b = first[t], first[t] + counts[t]
+        start = bounds[a]
+        inside = known.suspects(raw[start : bounds[b]], [x - start for x in bounds[a + 1 : b + 1]], set(np.flatnonzero(repeats[a:b]).tolist()))
+        suspects = {a + i: forms for i, forms in inside.items() if filled[a + i]}
+        if len(suspects) >= least[t]:
+            found = [i for i, forms in suspects.items() if known.is_known(passage(i), forms)]
+            if len(found) >= least[t]:
+                trusted[found] = 1
+
+    ask = np.zeros(len(text), bool)
+    ask[flags(_HAS_SUSPECT)] = True
+    # Of these words only a passage's first tells code.
+    begins = np.flatnonzero(np.diff(own, prepend=-1))
+    ask[own[begins[numbers[begins] & _IS_CODE > 0]]] = True
+    for i in np.flatnonzero(ask).tolist():
+        stands[i] = _standing(passage(i))
+    return trusted, stands
 
 
 def _places(tokens: np.ndarray, capitals: np.ndarray, lengths: np.ndarray, counts: np.ndarray, stands: np.ndarray) -> np.ndarray:
     """_TRAITS numbers for each passage of a batch."""
     n = int(counts.sum())
-    passage = _passage_of(tokens, lengths, counts)
+    passage = _passage_of(tokens, lengths)
     text = np.repeat(np.arange(len(counts)), counts)
     word = tokens > _STOP
     size = np.bincount(passage[word], minlength=n)
@@ -291,36 +347,44 @@ def tokenize(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """doc_id, tokens (4-byte numbers), trusted and standing (one byte for each passage), places (_TRAITS bytes for each)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, known = TokenIds(), Known(seeds)
+        ids, known = TokenIds(seeds), Known(seeds)
         for batch in batches:
-            tokens, trusted, standing = [], [], []
-            for raw in batch["text"]:
-                raw = raw if raw.isascii() else _SPACES.sub(" ", raw)
-                words = _TOKEN.findall(raw)
+            for start, stop in slices(batch["text"].str.len().tolist(), _TOGETHER):
+                part = batch.iloc[start:stop]
+                raws = [raw if raw.isascii() else _SPACES.sub(" ", raw) for raw in part["text"]]
+                found = [_TOKEN.findall(raw) for raw in raws]
+                lengths = np.array([len(x) for x in found], np.int64)
+                words = list(chain.from_iterable(found))
                 numbers = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                marks, stands = _marks(raw, words, numbers, known)
-                tokens.append(numbers)
-                trusted.append(marks)
-                standing.append(stands)
-            flat = np.concatenate(tokens)
-            lengths, counts = (np.array([len(x) for x in xs], np.int64) for xs in (tokens, trusted))
-            plain = flat & (_CAPITALS - 1)
-            places = _places(plain, flat >= _CAPITALS, lengths, counts, np.concatenate(standing) > 0)
-            cuts = _starts(counts)[1:]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "tokens": [x.tobytes() for x in np.split(plain, _starts(lengths)[1:])],
-                    "trusted": [x.tobytes() for x in trusted],
-                    "standing": [x.tobytes() for x in standing],
-                    "places": [x.tobytes() for x in np.split(places, cuts)],
-                }
-            )
+                trusted, stands = _marks("".join(raws), words, numbers, known, lengths)
+                kept = ~_gaps(numbers, lengths)
+                lengths = np.bincount(np.repeat(np.arange(len(raws)), lengths)[kept], minlength=len(raws))
+                numbers = numbers[kept]
+                tokens = numbers & (_CAPITALS - 1)
+                counts = np.bincount(np.repeat(np.arange(len(raws)), lengths)[tokens <= _STOP], minlength=len(raws)) + 1
+                places = _places(tokens, numbers & _CAPITALS > 0, lengths, counts, stands > 0)
+                by_text, by_passage = _starts(lengths)[1:], _starts(counts)[1:]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"],
+                        "tokens": [x.tobytes() for x in np.split(tokens, by_text)],
+                        "trusted": [x.tobytes() for x in np.split(trusted, by_passage)],
+                        "standing": [x.tobytes() for x in np.split(stands, by_passage)],
+                        "places": [x.tobytes() for x in np.split(places, by_passage)],
+                    }
+                )
 
     rows = documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0))
     return rows.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, _TOKENS)
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in parts of some texts, whose arrays are small enough to be made again in the same memory."""
+    for batch in batches:
+        for start, stop in slices([len(x) // 4 for x in batch["tokens"]], _TOKENS_TOGETHER):
+            yield batch.iloc[start:stop]
+
+
 def _passages(batch: pd.DataFrame) -> tuple[np.ndarray, ...]:
     """Of a batch: the number of each word, pair and trait, the passage of each, marks of the passages, and their documents."""
     tokens = np.frombuffer(b"".join(batch["tokens"]), np.int32)
@@ -329,13 +393,19 @@ def _passages(batch: pd.DataFrame) -> tuple[np.ndarray, ...]:
     stands = np.frombuffer(b"".join(batch["standing"]), np.uint8).astype(bool)
     traits = np.frombuffer(b"".join(batch["places"]), np.uint8).reshape(-1, _TRAITS)
     counts = np.array([len(x) for x in batch["trusted"]], np.int64)
-    passage = _passage_of(tokens, lengths, counts)
+    passage = _passage_of(tokens, lengths)
     word = tokens > _STOP
-    pair = word[:-1] & word[1:] & (passage[:-1] == passage[1:])
-    pairs = (tokens[:-1].astype(np.int64) * 0x9E3779B1 + tokens[1:].astype(np.int64) * 0x85EBCA6B) % BUCKETS
-    row, column = np.nonzero((traits != _NONE) & (np.bincount(passage[word], minlength=len(traits)) > 0)[:, None])
-    buckets = np.concatenate([tokens[word].astype(np.int64), pairs[pair], BUCKETS + traits[row, column].astype(np.int64)])
-    return buckets, np.concatenate([passage[word], passage[:-1][pair], row]), marks, stands, np.repeat(np.arange(len(batch)), counts)
+    pair = np.flatnonzero(word[:-1] & word[1:] & (passage[:-1] == passage[1:]))
+    word = np.flatnonzero(word)
+    # BUCKETS is a power of two, so that what runs over 32 bits changes nothing.
+    low = tokens.astype(np.uint32)
+    pairs = (low[:-1] * np.uint32(0x9E3779B1) + low[1:] * np.uint32(0x85EBCA6B)) & np.uint32(BUCKETS - 1)
+    in_words = passage[word]
+    some = np.zeros(len(traits), bool)
+    some[in_words] = True
+    at = np.flatnonzero((traits != _NONE) & some[:, None])
+    buckets = np.concatenate([tokens[word], pairs[pair], BUCKETS + traits.ravel()[at].astype(np.int64)], dtype=np.int64)
+    return buckets, np.concatenate([in_words, passage[pair], at // _TRAITS]), marks, stands, np.repeat(np.arange(len(batch)), counts)
 
 
 def _posterior(buckets: np.ndarray, passage: np.ndarray, n: int, model: np.ndarray) -> np.ndarray:
@@ -351,7 +421,7 @@ def _totals(tokens: DataFrame) -> pd.DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, trusted = np.zeros(SIZE), np.zeros(SIZE)
-        for batch in batches:
+        for batch in _parts(batches):
             buckets, passage, marks, _, _ = _passages(batch)
             n += np.bincount(buckets, minlength=SIZE)
             trusted += np.bincount(buckets[marks[passage]], minlength=SIZE)
@@ -366,7 +436,7 @@ def _expected(tokens: DataFrame, model: object) -> pd.DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(SIZE)
-        for batch in batches:
+        for batch in _parts(batches):
             buckets, passage, marks, stands, _ = _passages(batch)
             p = _posterior(buckets, passage, len(marks), model.value)
             p = np.where(marks, 1.0, np.where((p > 1e-3) & stands, p * UNLABELLED_WEIGHT, 0))
@@ -411,7 +481,7 @@ def score(tokens: DataFrame, model: np.ndarray) -> DataFrame:
     sent = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             buckets, passage, marks, stands, owner = _passages(batch)
             p = _posterior(buckets, passage, len(marks), sent.value)
             first = np.searchsorted(owner, owner)

@@ -538,3 +538,37 @@ def test_every_passage_is_asked_whether_it_stands():
     words = residue._TOKEN.findall(quoted)
     numbers = np.array([ids[w] for w in words], np.int32) & (residue._CAPITALS - 1)
     assert residue._bounds(quoted, words, np.flatnonzero(numbers <= residue._STOP)) == [26, 45, 45]
+
+
+def test_tokens_leave_nothing_out_and_give_the_ends_of_passages():
+    ids = residue.TokenIds()
+    raw = "We say «wait. Now» of x._. It\t__holds 1.5 and a.b ... \n Then «go. On» .\n"
+    words = residue._TOKEN.findall(raw)
+    assert "".join(words) == raw
+    numbers = np.array([ids[w] for w in words], np.int32)
+    gaps = residue._gaps(numbers, np.array([len(words)]))
+    ends = np.flatnonzero(~gaps & ((numbers & (residue._CAPITALS - 1)) <= residue._STOP))
+    bounds = residue._bounds(raw, words, ends)
+    assert [raw[a:b] for a, b in zip([0, *bounds], bounds)] == ["We say «wait. Now» of x._.", " It\t__holds 1.5 and a.b ...", " \n", " Then «go. On» .", "\n", ""]
+
+
+def test_texts_marked_together_are_marked_as_each_alone(monkeypatch):
+    texts = ["bla bla", "bla bla bla.", "We wait", "if (x) go", "__", *KNOWN_FORMS, "x = 1. It is «a b c» done.\nlet it be\n", "a.b", "..", " "]
+    texts += [f"We wait here.\nIt is closed.\n{text}\nIt is open.\nIt is done." for text in KNOWN_FORMS]
+    ids, asked = residue.TokenIds(), []
+    found = [residue._TOKEN.findall(text) for text in texts]
+    words = [w for x in found for w in x]
+    alone = [marks_of(text) for text in texts]
+    suspects = residue.Known.suspects
+    monkeypatch.setattr(residue.Known, "suspects", lambda self, raw, *rest: asked.append(raw) or suspects(self, raw, *rest))
+    together = residue._marks("".join(texts), words, np.array([ids[w] for w in words], np.int32), residue.Known(), np.array([len(x) for x in found]))
+    for k in (0, 1):
+        assert together[k].tolist() == [m for x in alone for m in x[k].tolist()]
+    assert [t for t, x in zip(texts, alone) if x[0].any()] == KNOWN_FORMS
+    # Texts that have too few passages with a piece of a known form are not searched for them.
+    assert set(KNOWN_FORMS) <= set(asked) and len(asked) < len(texts) - 30
+    # A form's piece may go over an end, or be all gaps.
+    for cue in ("soon. bye", "__"):
+        ids = residue.TokenIds({"form": ((cue,), "bye")})
+        assert all(ids[w] & residue._HAS_CUE for w in ("We ", "wait"))
+    assert not residue.TokenIds()["wait"] & residue._HAS_CUE
